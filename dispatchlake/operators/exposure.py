@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake.functions.guards import is_interval
 from dispatchlake.operators.intervals import Coverage, _islands, coverage
-from dispatchlake.operators.ordered import with_rank
+from dispatchlake.operators.ordered import counted, with_rank
 
 TRACE = ["trace_id"]
 
@@ -26,7 +26,7 @@ def gpu_intervals(cbs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def encode_coverage(cbs: DataFrame) -> Coverage:
+def encode_coverage(cbs: DataFrame, rows: int | None = None) -> Coverage:
     """GPU-covered length of the trace before each encode start (0) and end (1)."""
     ends = F.array(
         F.struct(F.lit(0).alias("side"), F.col("encode_start_ns").alias("at_ns")),
@@ -37,7 +37,9 @@ def encode_coverage(cbs: DataFrame) -> Coverage:
         .select("trace_id", "line_no", F.explode(ends).alias("p"))
         .select("trace_id", "line_no", "p.side", "p.at_ns")
     )
-    return coverage(gpu_intervals(cbs, TRACE), points, TRACE, "at_ns", ["line_no", "side"])
+    rows = counted(cbs) if rows is None else rows
+    at_most = None if rows is None else 3 * rows
+    return coverage(gpu_intervals(cbs, TRACE), points, TRACE, "at_ns", ["line_no", "side"], at_most)
 
 
 def _by_command_buffer(points: DataFrame) -> DataFrame:
@@ -81,8 +83,9 @@ def exposure_fragments(cbs: DataFrame) -> DataFrame:
     Islands are numbered in time order; an encode interval meets a run of
     consecutive numbers, so pieces come from an equi-join on that number.
     """
-    islands = _islands(gpu_intervals(cbs, TRACE), TRACE)
-    numbered = with_rank(islands, TRACE, ["start_ns"]).select(
+    rows = counted(cbs)
+    islands = _islands(gpu_intervals(cbs, TRACE), TRACE, rows)
+    numbered = with_rank(islands, TRACE, ["start_ns"], rows).select(
         "trace_id",
         F.col("_rank").alias("island"),
         F.coalesce("gap_from_ns", F.lit(float("-inf"))).alias("free_from"),
@@ -105,7 +108,7 @@ def exposure_fragments(cbs: DataFrame) -> DataFrame:
             endless.alias("busy_to"),
         )
     )
-    sides = _by_command_buffer(encode_coverage(cbs).points)
+    sides = _by_command_buffer(encode_coverage(cbs, rows).points)
     runs = (
         cbs.filter(has_encode())
         .select("trace_id", "line_no", "command_buffer_index", "encode_start_ns", "encode_end_ns")

@@ -36,9 +36,9 @@ def _longest_per_start(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return valid_intervals(df, keys).groupBy(*keys, "start_ns").agg(F.max("end_ns").alias("end_ns"))
 
 
-def _islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _islands(df: DataFrame, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
     """Union as ``start_ns, end_ns`` plus ``gap_from_ns``, the previous island's end."""
-    cut = blocks(_longest_per_start(df, keys), keys, ["start_ns"])
+    cut = blocks(_longest_per_start(df, keys), keys, ["start_ns"], at_most)
     rows = cut.with_carry(cut.rows, {"_m": F.max("end_ns")}, {"_carry": F.max("_m")})
     # greatest() skips NULLs; both are NULL only for the first interval of a key.
     rows = rows.withColumn(
@@ -148,7 +148,12 @@ class Coverage:
 
 
 def coverage(
-    intervals: DataFrame, points: DataFrame, keys: Sequence[str], at: str, ident: Sequence[str]
+    intervals: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    ident: Sequence[str],
+    at_most: int | None = None,
 ) -> Coverage:
     """Covered length of the union of ``intervals`` before each point.
 
@@ -166,7 +171,7 @@ def coverage(
     asked = points.filter(F.col(at).isNotNull()).select(
         *keys, F.col(at).cast("double").alias("_t"), F.lit(None).cast("double").alias("_e"), *ident
     )
-    cut = blocks(spans.unionByName(asked), keys, ["_t", *ident])
+    cut = blocks(spans.unionByName(asked), keys, ["_t", *ident], at_most)
     rows = cut.with_carry(cut.rows, {"_m": F.max("_e")}, {"_carry": F.max("_m")})
     rows = rows.withColumn("_reach", F.greatest(F.col("_carry"), F.max("_e").over(cut.before)))
     fresh = F.greatest(F.col("_e") - F.greatest("_t", "_reach"), F.lit(0.0))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.ordered import blocks, exact_median
-from dispatchlake.session import settle
 
 # A gap opens a launch when it exceeds both.
 MIN_GAP_NS = 100_000_000
@@ -25,15 +24,22 @@ def latest_endpoint() -> Column:
     return F.greatest("encode_start_ns", "encode_end_ns", "gpu_start_ns", "gpu_end_ns")
 
 
+def earliest_endpoint() -> Column:
+    return F.least("encode_start_ns", "encode_end_ns", "gpu_start_ns", "gpu_end_ns")
+
+
 @dataclass(frozen=True)
 class Launches:
-    """``cbs`` with ``launch_index``; one row per launch in ``launches``."""
+    """``cbs`` with ``launch_index``; one row per launch in ``launches``.
+
+    ``start_ns`` is the earliest activity start, ``low_ns`` the earliest endpoint of any kind.
+    """
 
     cbs: DataFrame
     launches: DataFrame
 
 
-def launch_gaps(cbs: DataFrame):
+def launch_gaps(cbs: DataFrame, at_most: int | None = None):
     """Command buffers in activity order with the idle time before each.
 
     The gap runs from the latest encode or GPU end of everything earlier to this
@@ -41,19 +47,22 @@ def launch_gaps(cbs: DataFrame):
     row sorts last.
     """
     keyed = cbs.withColumn("_at", F.coalesce(activity_start(), F.lit(UNTIMED)))
-    cut = blocks(keyed, ["trace_id"], ["_at", "line_no"])
+    cut = blocks(keyed, ["trace_id"], ["_at", "line_no"], at_most)
     end = F.greatest("encode_end_ns", "gpu_end_ns")
     rows = cut.with_carry(cut.rows, {"_m": F.max(end)}, {"_carry": F.max("_m")})
     reach = F.greatest(F.col("_carry"), F.max(end).over(cut.before))
-    return cut, settle(rows.withColumn("gap_ns", F.col("encode_start_ns") - reach).drop("_carry"))
+    return cut, cut.hold(rows.withColumn("gap_ns", F.col("encode_start_ns") - reach).drop("_carry"))
 
 
 def partition_launches(
-    cbs: DataFrame, min_gap_ns: float = MIN_GAP_NS, factor: float = MEDIAN_FACTOR
+    cbs: DataFrame,
+    min_gap_ns: float = MIN_GAP_NS,
+    factor: float = MEDIAN_FACTOR,
+    at_most: int | None = None,
 ) -> Launches:
     """Cut each trace where a gap exceeds ``max(min_gap_ns, factor * median gap)``."""
-    cut, rows = launch_gaps(cbs)
-    median = exact_median(rows.filter("gap_ns > 0"), ["trace_id"], "gap_ns", "_median")
+    cut, rows = launch_gaps(cbs, at_most)
+    median = exact_median(rows.filter("gap_ns > 0"), ["trace_id"], "gap_ns", "_median", cut.at_most)
     threshold = F.greatest(F.lit(float(min_gap_ns)), F.lit(float(factor)) * F.col("_median"))
     # greatest() skips NULL, so a trace without positive gaps gets the minimum.
     flagged = (
@@ -68,6 +77,7 @@ def partition_launches(
     launches = assigned.groupBy(*LAUNCH).agg(
         F.min(activity_start()).alias("start_ns"),
         F.max(latest_endpoint()).alias("end_ns"),
+        F.min(earliest_endpoint()).alias("low_ns"),
         F.max(F.when(F.col("_cuts") == 1, F.col("gap_ns"))).alias("gap_before_ns"),
         F.max("gap_threshold_ns").alias("gap_threshold_ns"),
         F.count(F.lit(1)).alias("command_buffers"),
@@ -75,7 +85,9 @@ def partition_launches(
     return Launches(assigned.select(*cbs.columns, "launch_index"), launches)
 
 
-def nearest_launch(points: DataFrame, launches: DataFrame) -> DataFrame:
+def nearest_launch(
+    points: DataFrame, launches: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Add ``launch_index`` of the launch that contains ``at_ns`` or lies nearest.
 
     ``points`` needs ``trace_id``, ``at_ns`` and a ``line_no`` unique in the trace. Of two equally
@@ -100,7 +112,7 @@ def nearest_launch(points: DataFrame, launches: DataFrame) -> DataFrame:
         F.col("line_no").cast("long").alias("_id"),
         F.lit(None).cast(marks.schema["_launch"].dataType).alias("_launch"),
     )
-    cut = blocks(marks.unionByName(asked), ["trace_id"], ["_t", "_kind", "_tie", "_id"])
+    cut = blocks(marks.unionByName(asked), ["trace_id"], ["_t", "_kind", "_tie", "_id"], at_most)
     rows = cut.with_carry(
         cut.rows,
         {"_low": F.min("_launch"), "_high": F.max("_launch")},
@@ -123,13 +135,15 @@ def nearest_launch(points: DataFrame, launches: DataFrame) -> DataFrame:
     return points.join(nearest, ["trace_id", "line_no"], "left")
 
 
-def assign_waits(waits: DataFrame, cbs: DataFrame, launches: DataFrame) -> DataFrame:
+def assign_waits(
+    waits: DataFrame, cbs: DataFrame, launches: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Launch of each wait: the owner's for waits anchored on their command buffer,
     else the nearest one in time; NULL where neither is known."""
     owners = cbs.filter("command_buffer_index IS NOT NULL").select(
         "trace_id", "command_buffer_index", F.col("launch_index").alias("_owner_launch")
     )
-    located = nearest_launch(waits, launches)
+    located = nearest_launch(waits, launches, at_most)
     fallback = F.col("placement") == "legacy-command-buffer-fallback"
     return (
         located.join(owners, ["trace_id", "command_buffer_index"], "left")
@@ -141,34 +155,32 @@ def assign_waits(waits: DataFrame, cbs: DataFrame, launches: DataFrame) -> DataF
     )
 
 
-def omissions(dispatches: DataFrame, waits: DataFrame) -> DataFrame:
-    """Per trace: records that belong to no launch. Per launch: records without a time."""
-    lost = dispatches.select(
-        "trace_id", "launch_index", F.col("at_ns").isNull().cast("long").alias("d"), F.lit(0).cast("long").alias("w"),
-        F.lit(1).cast("long").alias("is_d"), F.lit(0).cast("long").alias("is_w"),
-    ).unionByName(
-        waits.select(
-            "trace_id", "launch_index", F.lit(0).cast("long").alias("d"), F.col("at_ns").isNull().cast("long").alias("w"),
-            F.lit(0).cast("long").alias("is_d"), F.lit(1).cast("long").alias("is_w"),
-        )
-    )
-    counted = lost.groupBy("trace_id", "launch_index").agg(
-        F.sum("d").alias("untimed_d"), F.sum("w").alias("untimed_w"),
-        F.sum("is_d").alias("all_d"), F.sum("is_w").alias("all_w"),
-    )
-    nowhere = counted.filter("launch_index IS NULL").select(
-        "trace_id", F.col("all_d").alias("_lost_d"), F.col("all_w").alias("_lost_w")
-    )
-    zero = F.lit(0)
-    return (
-        counted.filter("launch_index IS NOT NULL")
-        .join(nowhere, "trace_id", "full")
-        .select(
-            "trace_id",
-            "launch_index",
-            F.coalesce("untimed_d", zero).alias("unplaced_dispatches"),
-            F.coalesce("untimed_w", zero).alias("unanchored_waits"),
-            F.coalesce("_lost_d", zero).alias("unattributable_dispatches"),
-            F.coalesce("_lost_w", zero).alias("unattributable_waits"),
+def omissions(dispatches: DataFrame, waits: DataFrame, launches: DataFrame) -> DataFrame:
+    """Records that no range can count: per launch those without a time, and per trace
+    (repeated on each launch) those that belong to no launch at all."""
+    def tally(df: DataFrame, kind: str) -> DataFrame:
+        return df.groupBy("trace_id", "launch_index").agg(
+            F.count(F.when(F.col("at_ns").isNull(), 1)).alias(f"{kind}_untimed"),
+            F.count(F.lit(1)).alias(f"{kind}_all"),
         )
+
+    per_launch = launches.select(*LAUNCH)
+    traces = None
+    for df, kind in ((dispatches, "dispatches"), (waits, "waits")):
+        counts = tally(df, kind)
+        inside = counts.filter("launch_index IS NOT NULL").drop(f"{kind}_all")
+        lost = counts.filter("launch_index IS NULL").select("trace_id", f"{kind}_all")
+        per_launch = per_launch.join(inside, LAUNCH, "left")
+        traces = lost if traces is None else traces.join(lost, "trace_id", "full")
+
+    def number(name: str, alias: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).alias(alias)
+
+    return per_launch.join(traces, "trace_id", "full").select(
+        "trace_id",
+        "launch_index",
+        number("dispatches_untimed", "unplaced_dispatches"),
+        number("waits_untimed", "unanchored_waits"),
+        number("dispatches_all", "unattributable_dispatches"),
+        number("waits_all", "unattributable_waits"),
     )

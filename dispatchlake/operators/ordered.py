@@ -5,6 +5,10 @@ trace may hold a third of all rows. Here the rows are range-partitioned on
 (key, order), so that a large key covers many blocks, each of bounded size. A
 running value is then the carry of all earlier blocks of the same key (one row
 per block, a small table) combined with a window inside the block.
+
+Input that was counted and fits one task anyway stays in a single block, which
+saves the range shuffle and the checkpoint. ``spark.dispatchlake.singleBlockRows``
+sets that limit; 0 skips the count and always cuts blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,17 @@ from pyspark.sql import functions as F
 from dispatchlake.session import settle
 
 BLOCK = "_block"
+SINGLE_BLOCK_CONF = "spark.dispatchlake.singleBlockRows"
+SINGLE_BLOCK_ROWS = 1_000_000
+
+
+def single_block_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SINGLE_BLOCK_CONF, str(SINGLE_BLOCK_ROWS)))
+
+
+def counted(df: DataFrame) -> int | None:
+    """Rows of ``df``, or None where counting is switched off."""
+    return df.count() if single_block_limit(df) > 0 else None
 
 
 @dataclass(frozen=True)
@@ -27,6 +42,12 @@ class Blocks:
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    at_most: int | None = None
+    single: bool = False
+
+    def hold(self, rows: DataFrame) -> DataFrame:
+        """Keep a step that several branches read; small input is cheaper to redo."""
+        return rows if self.single else settle(rows)
 
     @property
     def block_keys(self) -> list[str]:
@@ -71,18 +92,34 @@ class Blocks:
             *[value.over(past).alias(name) for name, value in (earlier or {}).items()],
             *[value.over(future).alias(name) for name, value in (later or {}).items()],
         )
+        if self.single:
+            # No other block to carry anything from.
+            missing = [f for f in carried.schema if f.name not in self.block_keys]
+            return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
         return rows.join(carried.hint("shuffle_hash"), self.block_keys)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Blocks:
-    """Cut ``df`` into ordered blocks. ``order`` must be a total order in a key."""
+def blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int | None = None
+) -> Blocks:
+    """Cut ``df`` into ordered blocks. ``order`` must be a total order in a key.
+
+    ``at_most`` is a known bound on the number of rows, taken instead of counting.
+    """
+    limit = single_block_limit(df)
+    if limit > 0:
+        at_most = df.count() if at_most is None else at_most
+        if at_most <= limit:
+            return Blocks(df.withColumn(BLOCK, F.lit(0)), tuple(keys), tuple(order), at_most, True)
     ranged = df.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id())
-    return Blocks(settle(ranged), tuple(keys), tuple(order))
+    return Blocks(settle(ranged), tuple(keys), tuple(order), at_most)
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def with_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int | None = None
+) -> DataFrame:
     """Add ``_rank`` (0-based position in the key) and ``_total`` (rows in the key)."""
-    cut = blocks(df, keys, order)
+    cut = blocks(df, keys, order, at_most)
     rows = cut.with_carry(
         cut.rows,
         {"_n": F.count(F.lit(1))},
@@ -99,18 +136,20 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, at_most: int | None = None
+) -> DataFrame:
     """One row per key with the exact median (mean of the two middle values).
 
     Equal values are counted together first, so ties never pile up, and the
     middle is found by position; no task holds all values of a key.
     """
-    counted = (
+    grouped = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    cut = blocks(counted, keys, [value])
+    cut = blocks(grouped, keys, [value], at_most)
     rows = cut.with_carry(
         cut.rows,
         {"_n": F.sum("_times")},

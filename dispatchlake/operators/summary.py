@@ -32,9 +32,9 @@ METRICS = [
 ]
 
 
-def busy_time(cbs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def busy_time(cbs: DataFrame, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
     """Length of the union of GPU intervals per key."""
-    cut = blocks(_longest_per_start(gpu_intervals(cbs, list(keys)), keys), keys, ["start_ns"])
+    cut = blocks(_longest_per_start(gpu_intervals(cbs, list(keys)), keys), keys, ["start_ns"], at_most)
     rows = cut.with_carry(cut.rows, {"_m": F.max("end_ns")}, {"_carry": F.max("_m")})
     reach = F.greatest(F.col("_carry"), F.max("end_ns").over(cut.before))
     fresh = rows.withColumn("_fresh", F.greatest(F.col("end_ns") - F.greatest(F.col("start_ns"), reach), F.lit(0.0)))
