@@ -9,14 +9,16 @@ INFINITY = float("inf")
 
 
 def is_finite(value: Column) -> Column:
-    """True for numbers that are neither NaN nor infinite; false for NULL."""
-    number = value.cast("double")
-    return F.coalesce(~F.isnan(number) & (F.abs(number) < F.lit(INFINITY)), F.lit(False))
+    """True for numbers that are neither NaN nor infinite; false for NULL.
+
+    NaN compares greater than everything, so one comparison settles it.
+    """
+    return F.coalesce(F.abs(value) < F.lit(INFINITY), F.lit(False))
 
 
 def finite_only(value: Column) -> Column:
     """The number, or NULL when it is not finite."""
-    return F.when(is_finite(value), value)
+    return F.when(F.abs(value) < F.lit(INFINITY), value)
 
 
 def checked(value: Column, label: str) -> Column:
