@@ -44,9 +44,12 @@ def trace_id(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 24)
 
 
-def scan_lines(spark: SparkSession, root: str) -> DataFrame:
+def scan_lines(spark: SparkSession, root: str, parts: bool = False) -> DataFrame:
     """``trace_id, relative_path, line_no, value, file_size`` for all captures below a folder.
 
+    With ``parts`` a capture is a folder of part files in order, as ``write_curated``
+    writes them, instead of a single file.
+
     Files are read in splits, in parallel. A line's number is its place in its
     split plus the lines of earlier splits of the file; the per-split counts are the
     only thing summed up, and the text itself is never shuffled when they are few.
@@ -55,7 +58,7 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
     read = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", CAPTURE_FILES)
+        .option("pathGlobFilter", "part-*" if parts else CAPTURE_FILES)
         .text(root)
         .select(
             F.col("_metadata.file_path").alias("_file"),
@@ -65,7 +68,10 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
             "value",
         )
     )
-    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    capture = F.regexp_replace("_file", "/[^/]*$", "") if parts else F.col("_file")
+    earlier = (
+        Window.partitionBy(capture).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    )
     splits = settle(
         read.groupBy("_file", "_start")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -73,7 +79,7 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
         .drop("_n")
     )
     side = F.broadcast(splits) if splits.count() <= FEW_SPLITS else splits
-    path = relative_path(F.col("_file"), root_uri(spark, root))
+    path = relative_path(capture, root_uri(spark, root))
     return read.join(side, ["_file", "_start"]).select(
         trace_id(path).alias("trace_id"),
         path.alias("relative_path"),
