@@ -126,55 +126,68 @@ def overview_bins(
     )
 
 
-def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """At most one bin per pixel column for the dispatches of each range.
-
-    ``selected`` holds placed dispatches with their range's ``range_start_ns`` and
-    ``range_end_ns`` (see ``ranges.points_in_ranges``).
-    """
+def _density_rows(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     columns = max(1, int(width))
     span = F.col("range_end_ns") - F.col("range_start_ns")
     scaled = F.floor((F.col("at_ns") - F.col("range_start_ns")) / span * columns)
-    binned = selected.filter(span > 0).select(
+    return selected.filter(span > 0).select(
         *keys, "range_start_ns", "range_end_ns", "at_ns", "line_no", "command_buffer_index",
         F.least(F.greatest(scaled, F.lit(0)), F.lit(columns - 1)).cast("int").alias("bin"),
         F.when(F.length("kernel") > 0, F.col("kernel")).otherwise(UNKNOWN_KERNEL).alias("kernel"),
     )
+
+
+def density_owners(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Which command buffers (NULL: none known) have dispatches in each bin, one row each."""
+    return _density_rows(selected, keys, width).select(*keys, "bin", "command_buffer_index").distinct()
+
+
+def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """At most one bin per pixel column for the dispatches of each range.
+
+    ``selected`` holds placed dispatches with their range's ``range_start_ns`` and
+    ``range_end_ns`` (see ``ranges.points_in_ranges``). ``command_buffer_index`` is the
+    one owner of the bin, if it has just one; see ``density_owners`` for all.
+    """
+    columns = max(1, int(width))
     order = F.struct("at_ns", "line_no")
-    per_kernel = binned.groupBy(*keys, "range_start_ns", "range_end_ns", "bin", "kernel").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last")
+    scope = [*keys, "range_start_ns", "range_end_ns", "bin"]
+    per_kernel = (
+        _density_rows(selected, keys, width)
+        .groupBy(*scope, "kernel")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(order).alias("first"),
+            F.max(order).alias("last"),
+            F.min("command_buffer_index").alias("_low"),
+            F.max("command_buffer_index").alias("_high"),
+            F.max(F.col("command_buffer_index").isNull()).alias("_unowned"),
+        )
     )
-    entry = F.struct("kernel", "n")
-    bins = per_kernel.groupBy(*keys, "range_start_ns", "range_end_ns", "bin").agg(
+    bins = per_kernel.groupBy(*scope).agg(
         F.sum("n").alias("count"),
         F.min_by("kernel", F.struct(-F.col("n"), F.col("kernel"))).alias("dominant_kernel"),
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("kernel_counts"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kernel", "n")))).alias("kernel_counts"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.max("_unowned").alias("_unowned"),
     )
-    owners = (
-        binned.select(*keys, "bin", "command_buffer_index")
-        .distinct()
-        .groupBy(*keys, "bin")
-        .agg(
-            F.array_sort(F.collect_list("command_buffer_index")).alias("command_buffer_indices"),
-            F.max(F.col("command_buffer_index").isNull()).alias("_unowned"),
-        )
-    )
-    indices = F.col("command_buffer_indices")
-    at = lambda step: F.col("range_start_ns") + (F.col("bin") + step) / F.lit(columns) * (
-        F.col("range_end_ns") - F.col("range_start_ns")
-    )
-    return bins.join(owners, [*keys, "bin"]).select(
+
+    def edge(step: int) -> Column:
+        length = F.col("range_end_ns") - F.col("range_start_ns")
+        return F.col("range_start_ns") + (F.col("bin") + step) / F.lit(columns) * length
+
+    return bins.select(
         *keys,
         "bin",
-        at(0).alias("start_ns"),
-        at(1).alias("end_ns"),
+        edge(0).alias("start_ns"),
+        edge(1).alias("end_ns"),
         "count",
         "dominant_kernel",
         "kernel_counts",
-        F.when((F.size(indices) == 1) & ~F.col("_unowned"), indices[0]).alias("command_buffer_index"),
-        "command_buffer_indices",
+        F.when((F.col("_low") == F.col("_high")) & ~F.col("_unowned"), F.col("_low")).alias("command_buffer_index"),
         F.col("first.line_no").alias("first_line_no"),
         F.col("last.line_no").alias("last_line_no"),
     )

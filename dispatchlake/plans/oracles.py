@@ -319,15 +319,13 @@ ORACLES: dict[str, str] = {
                round(a + CAST(bin + 1 AS DOUBLE) / 40 * (b - a), 3) AS bin_end_ns,
                CAST(sum(n) AS BIGINT) AS count, arg_min(kernel, struct_pack(x := -n, y := kernel)) AS dominant_kernel,
                array_to_string(list(kernel || '=' || n ORDER BY kernel), ',') AS kernel_counts,
-               CASE WHEN max(lo) = min(lo) AND max(hi) = min(lo) THEN min(lo) END AS command_buffer_index,
-               max(owners) AS owners
+               CASE WHEN max(lo) = min(lo) AND max(hi) = min(lo) THEN min(lo) END AS command_buffer_index
         FROM (SELECT trace_id, launch, range_id, a, b, {DENSE_OF} AS bin, kernel, count(*) AS n, min(k) AS lo, max(k) AS hi
               FROM pl JOIN rng USING (trace_id, launch) WHERE at_ns BETWEEN a AND b GROUP BY ALL)
-        JOIN (SELECT trace_id, launch, range_id, {DENSE_OF} AS bin,
-                     array_to_string(list_sort(list_distinct(list(k))), ',') AS owners
-              FROM pl JOIN rng USING (trace_id, launch) WHERE at_ns BETWEEN a AND b GROUP BY trace_id, launch, range_id, a, b, bin)
-          USING (trace_id, launch, range_id, bin)
         GROUP BY trace_id, launch, range_id, a, b, bin""",
+    "dispatch_density_owners": f"""
+        SELECT DISTINCT trace_id, launch AS launch_index, range_id, CAST({DENSE_OF} AS BIGINT) AS bin, k AS command_buffer_index
+        FROM pl JOIN rng USING (trace_id, launch) WHERE at_ns BETWEEN a AND b""",
     "dispatch_density_mode": """
         SELECT r.trace_id, r.launch AS launch_index, range_id, count(k) AS dispatch_count,
                CASE WHEN count(k) < 2 THEN false

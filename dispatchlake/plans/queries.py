@@ -214,7 +214,6 @@ def dispatch_density(spark: SparkSession, folder: str) -> DataFrame:
     entries = F.transform(
         F.array_sort(F.map_entries("kernel_counts")), lambda e: F.concat_ws("=", e["key"], e["value"])
     )
-    owners = F.transform("command_buffer_indices", lambda i: i.cast("bigint"))
     return whole(
         found.select(
             *ranges.RANGE,
@@ -225,12 +224,17 @@ def dispatch_density(spark: SparkSession, folder: str) -> DataFrame:
             "dominant_kernel",
             F.array_join(entries, ",").alias("kernel_counts"),
             "command_buffer_index",
-            F.array_join(owners, ",").alias("owners"),
         ),
         "launch_index", "bin", "count", "command_buffer_index",
     )
 
 
+def dispatch_density_owners(spark: SparkSession, folder: str) -> DataFrame:
+    a = analysis(spark, folder)
+    selected = ranges.points_in_ranges(a.dispatches, range_tables(a)[0])
+    return whole(bins_.density_owners(selected, ranges.RANGE, DENSITY_WIDTH))
+
+
 def dispatch_density_mode(spark: SparkSession, folder: str) -> DataFrame:
     a = analysis(spark, folder)
     found = range_tables(a)[0]
@@ -336,7 +340,7 @@ QUERIES: dict[str, Query] = {
         duplicate_quarantine, operation_bounds, dispatch_placement, wait_anchors, wait_launches,
         kernel_census_by_trace, kernel_census_by_launch, kernel_rows, kernel_ranking,
         wait_taxonomy_by_trace, wait_taxonomy_by_launch, wait_report, headline_waits,
-        wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_mode,
+        wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
         launch_omissions, launch_availability, time_marks, even_samples, sorted_report,
         range_requests, range_selections, range_summaries, range_kernels, range_waits,
         focus_windows, viewport_command_buffers,
