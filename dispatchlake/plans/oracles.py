@@ -119,8 +119,33 @@ PIECES: dict[str, str] = {
     "rng": """
         SELECT r.trace_id, r.launch, range_id, greatest(a, s) AS a, least(b, e) AS b
         FROM req r JOIN bounds USING (trace_id, launch) WHERE least(b, e) > greatest(a, s)""",
+    "fin": """
+        SELECT *, greatest(ee, ge) AS fin,
+               row_number() OVER (PARTITION BY trace_id ORDER BY greatest(ee, ge), least(es, gs), k) - 1 AS r,
+               count(*) OVER (PARTITION BY trace_id) AS total FROM cb""",
+    "anchor": """
+        SELECT *, (SELECT count(*) FROM fin WHERE fin.trace_id = aw.trace_id AND fin.fin <= aw.at_ns) AS stop
+        FROM aw WHERE bucket = 'cb_wait_until_completed' AND at_ns IS NOT NULL""",
+    "able": """
+        SELECT a.* FROM anchor a LEFT JOIN fin f ON f.trace_id = a.trace_id AND f.k = a.owner
+        WHERE stop > 0 AND (owner IS NULL OR f.r BETWEEN stop - 64 AND stop - 1)""",
+    "pick": """
+        SELECT trace_id, coalesce(max(struct_pack(t := at_ns, l := line_no, s := stop)) FILTER (stop >= 64),
+                                  max(struct_pack(t := at_ns, l := line_no, s := stop))) AS p,
+               CASE WHEN count(*) FILTER (stop >= 64) > 0 THEN 'anchor' ELSE 'anchor-partial' END AS mode
+        FROM able GROUP BY trace_id""",
+    "cut_cb": """
+        SELECT fin.*, p.p.t AS anchor, coalesce(mode, 'final-command-buffers') AS mode FROM fin LEFT JOIN pick p ON p.trace_id = fin.trace_id
+        WHERE r < coalesce(p.p.s, total) AND r >= coalesce(p.p.s, total) - 64""",
+    "cut_window": """
+        SELECT trace_id, mode, min(least(es, gs)) AS lo, coalesce(max(anchor), max(fin)) AS hi, count(*) AS n FROM cut_cb GROUP BY trace_id, mode""",
+    "cut_wait": """
+        SELECT aw.*, wt.raw_at FROM aw JOIN wt ON wt.line_no = aw.line_no AND wt.trace_id = aw.trace_id
+        JOIN cut_window w ON w.trace_id = aw.trace_id
+        LEFT JOIN cut_cb c ON c.trace_id = aw.trace_id AND c.k = aw.owner
+        WHERE aw.at_ns BETWEEN lo AND hi AND (aw.owner IS NULL OR c.k IS NOT NULL)""",
 }
-HEAVY = ("cb", "op", "wt", "isl", "enc", "hidden_piece", "hid", "gap", "cut", "lcb", "part_l", "aw", "wl", "pl", "lisl", "bounds", "rng")
+HEAVY = ("cb", "op", "wt", "isl", "enc", "hidden_piece", "hid", "gap", "cut", "lcb", "part_l", "aw", "wl", "pl", "lisl", "bounds", "rng", "fin", "able", "cut_cb", "cut_window", "cut_wait", "focus")
 
 WAIT_SUMS = """
     coalesce(sum(wait_ns) FILTER (bucket = 'cap_wait'), 0) AS cap_wait_ns,
@@ -419,7 +444,114 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT trace_id, launch, owner, min(at_ns) AS w FROM wl WHERE at_ns IS NOT NULL AND owner IS NOT NULL GROUP BY ALL) f
           ON f.trace_id = lcb.trace_id AND f.launch = lcb.launch AND f.owner = lcb.k
         WHERE (greatest(ee, ge) >= a AND least(es, gs) <= b) OR w BETWEEN a AND b""",
+    "line_report": """
+        SELECT trace_id, total AS total_lines, total - bad AS parsed_rows, bad AS malformed_rows, CAST(0 AS BIGINT) AS blank_rows,
+               false AS line_too_long
+        FROM (SELECT trace_id, CAST(sum(n) AS BIGINT) + 1 AS total, CAST(sum(b) AS BIGINT) AS bad FROM (
+          SELECT trace_id, count(*) AS n, count(*) FILTER (k % 101 = 0) AS b FROM cb GROUP BY trace_id
+          UNION ALL SELECT trace_id, count(*), 0 FROM op GROUP BY trace_id
+          UNION ALL SELECT trace_id, count(*), 0 FROM wt GROUP BY trace_id) GROUP BY trace_id)""",
+    "malformed_lines": """
+        SELECT trace_id, k AS line_no, 'Invalid JSON' AS message,
+               CASE WHEN length(t) <= 200 THEN t ELSE substring(t, 1, 200) || '…' END AS preview
+        FROM (SELECT trace_id, k,
+                CASE k % 3
+                  WHEN 0 THEN printf('{"record":"cb","schema_version":1,"command_buffer_index":%d,"encode_start_ns":%d,"encode_end_ns":%d,"gpu_start_ns":%d,"gpu_end_ns":%d} x', k, es, ee, gs, ge)
+                  WHEN 1 THEN printf('{"cb_index":%d,"encode_start_ns":%d,"encode_end_ns":%d,"gpu_start_ns":%d,"gpu_end_ns":%d} x', k, es, ee, gs, ge)
+                  ELSE printf('{"type":"Command_Buffer ","commandBufferIndex":%d,"encodeStartNs":%d,"encodeEndNs":%d,"gpuStartNs":%d,"gpuEndNs":%d} x', k, es, ee, gs, ge)
+                END AS t FROM cb WHERE k % 101 = 0)""",
+    "normalized_command_buffers": """
+        SELECT trace_id, k AS line_no, k AS command_buffer_index, es AS encode_start_ns, ee AS encode_end_ns,
+               gs AS gpu_start_ns, ge AS gpu_end_ns FROM cb WHERE k % 101 <> 0""",
+    "normalized_operations": """
+        SELECT trace_id, line_no, CAST(seq AS BIGINT) AS seq, k AS command_buffer_index, kernel,
+               CAST(calls AS BIGINT) AS set_bytes_calls, bytes AS set_bytes_total_bytes, CAST(binds AS BIGINT) AS buffer_binds FROM op""",
+    "normalized_waits": """
+        SELECT trace_id, line_no, bucket, wait_ns, raw_at AS at_ns, owner AS command_buffer_index, owner IS NOT NULL AS has_legacy_index,
+               wait_class, CASE WHEN bucket = 'sched_backpressure' THEN 'scheduler-mirror' ELSE wait_class END AS detail_class,
+               CASE WHEN bucket <> 'sched_backpressure' THEN wait_class END AS headline_category
+        FROM wt WHERE line_no % 103 <> 0""",
+    "reported_buckets": """
+        SELECT trace_id, bucket, count(*) AS count, CAST(sum(wait_ns) AS BIGINT) AS total_ns
+        FROM wt WHERE trace_id IN (SELECT trace_id FROM cb) GROUP BY trace_id, bucket""",
+    "evidence_grades": """
+        SELECT trace_id, good AS command_buffers, operations, waits, CAST(1 AS BIGINT) AS summaries, odd AS unrecognized,
+               bad AS malformed_rows, CAST(0 AS BIGINT) AS duplicate_rows, 'complete' AS source_completeness,
+               good + bad AS reported_cbs_total, good AS analyzed_cbs_total,
+               CASE WHEN bad > 0 THEN 'cbs_total' ELSE '' END AS count_mismatches, bad = 0 AND odd = 0 AS valid_evidence,
+               CASE WHEN bad = 0 AND odd = 0 THEN 'Complete evidence' ELSE concat_ws('; ',
+                 CASE WHEN bad > 0 THEN 'Malformed rows: ' || bad END, CASE WHEN odd > 0 THEN 'Unsupported rows: ' || odd END,
+                 CASE WHEN bad > 0 THEN 'Summary count mismatch' END) END AS badges,
+               CASE WHEN bad = 0 AND odd = 0 THEN 'Capture complete' ELSE 'Degraded' END AS state
+        FROM (SELECT trace_id, count(*) FILTER (k % 101 <> 0) AS good, count(*) FILTER (k % 101 = 0) AS bad FROM cb GROUP BY trace_id)
+        JOIN (SELECT trace_id, count(*) AS operations FROM op GROUP BY trace_id) USING (trace_id)
+        JOIN (SELECT trace_id, count(*) FILTER (line_no % 103 <> 0) AS waits, count(*) FILTER (line_no % 103 = 0) AS odd
+              FROM wt GROUP BY trace_id) USING (trace_id)""",
+    "strict_violations": """
+        SELECT trace_id, 'unsafe-integer' AS code, count(*) AS violations FROM cb WHERE k % 500 = 3 GROUP BY trace_id
+        UNION ALL SELECT trace_id, 'total-mismatch:cbs_total', 1 FROM cb WHERE k % 500 = 3 GROUP BY trace_id
+        UNION ALL SELECT trace_id, 'declared-operations', 1 FROM op WHERE k % 500 = 3 GROUP BY trace_id
+        UNION ALL SELECT trace_id, 'missing-owner', count(*) FROM (
+          SELECT trace_id FROM op WHERE k % 500 = 3 UNION ALL SELECT trace_id FROM wt WHERE owner % 500 = 3) GROUP BY trace_id""",
+    "curated_windows": """
+        SELECT trace_id, mode AS selection_mode, lo AS source_start_ns, hi AS source_end_ns, n AS command_buffers,
+               (SELECT count(*) FROM op JOIN cut_cb c ON c.k = op.k WHERE c.trace_id = w.trace_id) AS ops,
+               (SELECT count(*) FROM cut_wait x WHERE x.trace_id = w.trace_id) AS waits
+        FROM cut_window w""",
+    "curated_rows": """
+        SELECT trace_id, record, count(*) AS rows, CAST(sum(es) AS BIGINT) AS encode_start_ns, CAST(sum(ge) AS BIGINT) AS gpu_end_ns,
+               CAST(sum(at_ns) AS BIGINT) AS at_ns, CAST(sum(wait_ns) AS BIGINT) AS wait_ns, CAST(sum(ops) AS BIGINT) AS ops_total
+        FROM (
+          SELECT c.trace_id, 'cb' AS record, es - lo AS es, ge - lo AS ge, NULL AS at_ns, NULL AS wait_ns, NULL AS ops
+          FROM cut_cb c JOIN cut_window w ON w.trace_id = c.trace_id
+          UNION ALL SELECT c.trace_id, 'op', NULL, NULL, NULL, NULL, NULL FROM op JOIN cut_cb c ON c.k = op.k
+          UNION ALL SELECT x.trace_id, 'wait', NULL, NULL, raw_at - lo, wait_ns, NULL FROM cut_wait x JOIN cut_window w ON w.trace_id = x.trace_id
+          UNION ALL SELECT w.trace_id, 'summary', NULL, NULL, NULL, NULL, (SELECT count(*) FROM op JOIN cut_cb c ON c.k = op.k WHERE c.trace_id = w.trace_id)
+          FROM cut_window w) GROUP BY trace_id, record""",
+    "curated_verification": """
+        SELECT trace_id, 'structural-curated-file' AS validation_scope, false AS raw_provenance_attested,
+               n + ops + waits + 1 AS rows, n AS command_buffers, ops, waits, sha256(trace_id) AS source_sha256,
+               true AS source_complete, true AS valid_evidence
+        FROM (SELECT trace_id, n, (SELECT count(*) FROM op JOIN cut_cb c ON c.k = op.k WHERE c.trace_id = w.trace_id) AS ops,
+                     (SELECT count(*) FROM cut_wait x WHERE x.trace_id = w.trace_id) AS waits FROM cut_window w)""",
+    "run_names": """
+        SELECT k AS customer,
+               CASE WHEN ok THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS capture_utc,
+               CASE WHEN ok THEN CASE WHEN k % 5 = 0 THEN 'window-cb64' ELSE 'raw' END END AS artifact,
+               CASE WHEN ok THEN '' ELSE 'grammar-mismatch' END AS errors,
+               substring(sha256(c_mktsegment || '/' || name), 1, 24) AS trace_id, true AS path_is_safe,
+               CASE WHEN k % 11 <> 0 THEN 'https://huggingface.co/own/r' || k END AS url
+        FROM (SELECT *, coalesce(k % 7 <> 0 AND ts IS NOT NULL, false) AS ok FROM (
+          SELECT k, c_mktsegment, d, (CASE WHEN k % 7 = 0 THEN 'Own' ELSE 'own' END) || k || '--re.po__me__' || replace(d, ' ', 't') || 'z.'
+                 || (CASE WHEN k % 5 = 0 THEN 'window-cb64' ELSE 'raw' END) || '.jsonl' AS name,
+                 try_strptime(d, '%Y-%m-%d %H-%M-%S') AS ts
+          FROM (SELECT c_custkey AS k, c_mktsegment, printf('20%02d-%02d-%02d 10-%02d-30', c_custkey % 30, c_custkey % 13, c_custkey % 31 + 1, c_custkey % 60) AS d
+                FROM customer)))""",
 }
+# A document or report shows the figures of other queries.
+ORACLES["visible_evidence"] = f"""
+    SELECT f.trace_id, f.launch_index, f.trace_id || '-launch-' || (f.launch_index + 1) || '-visible-timeline.json' AS file_name,
+           (SELECT count(*) FROM seen WHERE seen.trace_id = f.trace_id AND seen.launch = f.launch_index) AS command_buffers,
+           (SELECT count(*) FROM seen WHERE seen.trace_id = f.trace_id AND seen.launch = f.launch_index) AS listed_command_buffers,
+           (SELECT count(*) FROM pl WHERE pl.trace_id = f.trace_id AND pl.launch = f.launch_index AND at_ns BETWEEN a AND b) AS dispatches,
+           (SELECT count(*) FROM wl WHERE wl.trace_id = f.trace_id AND wl.launch = f.launch_index AND at_ns BETWEEN a AND b) AS waits,
+           (SELECT arg_min(kernel, struct_pack(n := -n, k := kernel)) FROM (
+              SELECT kernel, count(*) AS n FROM pl WHERE pl.trace_id = f.trace_id AND pl.launch = f.launch_index AND at_ns BETWEEN a AND b
+              GROUP BY kernel)) AS top_kernel,
+           (SELECT CAST(sum(e - s) AS BIGINT) FROM lisl WHERE lisl.trace_id = f.trace_id AND lisl.launch = f.launch_index) AS gpu_busy_ns
+    FROM focus f"""
+ORACLES["range_report_figures"] = (
+    "SELECT trace_id, launch_index, range_id, gpu_busy_ns, hidden_host_ns, ops_total AS dispatches, headline_wait_ns "
+    f"FROM ({ORACLES['range_summaries']})"
+)
+PIECES["focus"] = (
+    "SELECT trace_id, launch_index, focus_start_ns AS a, focus_end_ns AS b FROM (" + ORACLES["focus_windows"] + ")"
+)
+PIECES["seen"] = """
+    SELECT f.trace_id, lcb.launch, k FROM focus f JOIN lcb ON lcb.trace_id = f.trace_id AND lcb.launch = f.launch_index
+    LEFT JOIN (SELECT trace_id, launch, owner, min(at_ns) AS w FROM wl WHERE at_ns IS NOT NULL AND owner IS NOT NULL GROUP BY ALL) o
+      ON o.trace_id = lcb.trace_id AND o.launch = lcb.launch AND o.owner = lcb.k
+    WHERE (greatest(ee, ge) >= a AND least(es, gs) <= b) OR w BETWEEN a AND b"""
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in ORACLES.items()}

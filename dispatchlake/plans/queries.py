@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dispatchlake.functions import names
 from dispatchlake.operators import bins as bins_
-from dispatchlake.operators import census, intervals, marks, placement, ranges, summary
+from dispatchlake.operators import census, documents, intervals, marks, placement, ranges, summary
+from dispatchlake.operators.audit import validate
+from dispatchlake.operators.curate import Curated, curate
+from dispatchlake.operators.evidence import badges, grade, select_summary
 from dispatchlake.operators.exposure import TRACE, exposure, exposure_fragments, gpu_intervals, has_encode
 from dispatchlake.operators.launches import LAUNCH
+from dispatchlake.operators.normalize import Records, normalize, summary_buckets
+from dispatchlake.operators.ordered import with_rank
+from dispatchlake.operators.verify import verify_curated
 from dispatchlake.plans.analysis import Analysis
 from dispatchlake.session import settle
-from dispatchlake.sources.tables import trace_tables
+from dispatchlake.sources.captures import closed_lines, mixed_lines
+from dispatchlake.sources.lines import parse_diagnostics, parse_lenient, trace_id
+from dispatchlake.sources.tables import read_table, trace_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REPORT_BINS = 32
 DENSITY_WIDTH = 40
+CURATED_COMMAND_BUFFERS = 64
 
 
 def analysis(spark: SparkSession, folder: str) -> Analysis:
@@ -332,6 +342,144 @@ def viewport_command_buffers(spark: SparkSession, folder: str) -> DataFrame:
     return whole(seen.select(*ranges.RANGE, "command_buffer_index"))
 
 
+def line_report(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(parse_diagnostics(mixed_lines(spark, folder)).drop("source_bytes"))
+
+
+def malformed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(parse_lenient(mixed_lines(spark, folder))[1], "line_no")
+
+
+def _records(spark: SparkSession, folder: str) -> Records:
+    return normalize(parse_lenient(mixed_lines(spark, folder))[0])
+
+
+def normalized_command_buffers(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(_records(spark, folder).cbs.drop("raw", "op_count", "first_op_seq", "last_op_seq"))
+
+
+def normalized_operations(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(_records(spark, folder).ops.drop("raw", "kind", "dispatch", "grid", "threadgroup"))
+
+
+def normalized_waits(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(_records(spark, folder).waits.drop("raw"))
+
+
+def reported_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(summary_buckets(select_summary(_records(spark, folder).summaries)))
+
+
+def evidence_grades(spark: SparkSession, folder: str) -> DataFrame:
+    lines = settle(mixed_lines(spark, folder))
+    records = normalize(parse_lenient(lines)[0])
+    found = badges(grade(records, parse_diagnostics(lines)))
+    return whole(
+        found.select(
+            "trace_id", "command_buffers", "operations", "waits", "summaries", "unrecognized", "malformed_rows",
+            "duplicate_rows", "source_completeness", "reported_cbs_total", "analyzed_cbs_total",
+            listed("count_mismatches"), "valid_evidence", F.array_join("badges", "; ").alias("badges"), "state",
+        )
+    )
+
+
+def strict_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every five-hundredth command buffer gets a fractional GPU end."""
+    number = F.get_json_object("value", "$.command_buffer_index").cast("bigint")
+    torn = F.regexp_replace("value", r'"gpu_end_ns":[0-9]+', '"gpu_end_ns":1.5')
+    lines = closed_lines(spark, folder).withColumn(
+        "value", F.when(F.contains("value", F.lit('"record":"cb"')) & (number % 500 == 3), torn).otherwise(F.col("value"))
+    )
+    found = validate(lines).violations
+    return found.groupBy("trace_id", "code").agg(F.count(F.lit(1)).alias("violations"))
+
+
+def _curated(spark: SparkSession, folder: str) -> Curated:
+    checked = validate(closed_lines(spark, folder))
+    hashes = checked.traces.select("trace_id", F.sha2("trace_id", 256).alias("source_sha256"))
+    return curate(checked, CURATED_COMMAND_BUFFERS, fingerprints=hashes)
+
+
+def curated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return whole(_curated(spark, folder).summaries.drop("value"))
+
+
+def curated_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curated(spark, folder).rows
+    member = lambda name: F.get_json_object("value", f"$.{name}")
+    return rows.groupBy("trace_id", member("record").alias("record")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(member("encode_start_ns").cast("bigint")).alias("encode_start_ns"),
+        F.sum(member("gpu_end_ns").cast("bigint")).alias("gpu_end_ns"),
+        F.sum(member("at_ns").cast("bigint")).alias("at_ns"),
+        F.sum(member("wait_ns").cast("bigint")).alias("wait_ns"),
+        F.sum(member("ops_total").cast("bigint")).alias("ops_total"),
+    )
+
+
+def curated_verification(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curated(spark, folder).rows
+    numbered = with_rank(rows, TRACE, ["line_no"]).select("trace_id", (F.col("_rank") + 1).alias("line_no"), "value")
+    return whole(verify_curated(numbered)[0])
+
+
+def run_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A run name per customer; impossible dates and upper-case owners are mistakes."""
+    key = F.col("c_custkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    name = F.concat(
+        F.when(key % 7 == 0, "Own").otherwise("own"), key.cast("string"), F.lit("--re.po__me__20"), two(key % 30), F.lit("-"),
+        two(key % 13), F.lit("-"), two(key % 31 + 1), F.lit("t10-"), two(key % 60), F.lit("-30z."),
+        F.when(key % 5 == 0, "window-cb64").otherwise("raw"), F.lit(".jsonl"),
+    )
+    named = read_table(spark, folder, "customer").select(key, name.alias("name"), F.concat_ws("/", "c_mktsegment", "name").alias("path"))
+    run = names.run_name(F.col("name"))
+    return named.select(
+        F.col("c_custkey").alias("customer"),
+        run["capture_utc"].alias("capture_utc"),
+        run["artifact"].alias("artifact"),
+        F.array_join(names.name_errors(F.col("name")), ",").alias("errors"),
+        trace_id(F.col("path")).alias("trace_id"),
+        names.path_is_safe(F.col("path")).alias("path_is_safe"),
+        names.repository_url(F.concat(F.lit("own/"), F.when(key % 11 == 0, F.lit("bad..")).otherwise(F.lit("r")), key.cast("string"))).alias("url"),
+    )
+
+
+def visible_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures read back out of the evidence document of each launch's focus range."""
+    a = analysis(spark, folder)
+    focus = ranges.focus_ranges(a.command_buffers, a.dispatches, a.launch_waits, a.launches)
+    asked = focus.select(
+        *LAUNCH, F.lit("focus").alias("range_id"), F.col("focus_start_ns").alias("start_ns"), F.col("focus_end_ns").alias("end_ns")
+    )
+    found = documents.evidence_documents(documents.document_pieces(a, asked))
+    member = lambda path: F.get_json_object("text", path)
+    return found.select(
+        *LAUNCH,
+        "file_name",
+        member("$.evidence_health.coverage.command_buffers").cast("bigint").alias("command_buffers"),
+        F.size(F.from_json(member("$.command_buffers"), "array<string>")).cast("bigint").alias("listed_command_buffers"),
+        member("$.evidence_health.coverage.dispatches").cast("bigint").alias("dispatches"),
+        member("$.evidence_health.coverage.waits").cast("bigint").alias("waits"),
+        member("$.dispatch_summary.kernel_families[0].kernel").alias("top_kernel"),
+        member("$.measurements[3].value").cast("double").cast("bigint").alias("gpu_busy_ns"),
+    )
+
+
+def range_report_figures(spark: SparkSession, folder: str) -> DataFrame:
+    a = analysis(spark, folder)
+    found = range_tables(a)[0]
+    result = ranges.analyze_ranges(a.command_buffers, a.dispatches, a.launch_waits, found, a.launch_omissions)
+    member = lambda path: F.get_json_object("text", path)
+    return documents.range_reports(a, found, result).select(
+        *ranges.RANGE,
+        member("$.gpu.gpu_busy_ns").cast("double").cast("bigint").alias("gpu_busy_ns"),
+        member("$.cpu.hidden_host_ns").cast("double").cast("bigint").alias("hidden_host_ns"),
+        member("$.kernels.dispatches").cast("bigint").alias("dispatches"),
+        member("$.waits.headline_wait_ns").cast("double").cast("bigint").alias("headline_wait_ns"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -343,6 +491,8 @@ QUERIES: dict[str, Query] = {
         wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
         launch_omissions, launch_availability, time_marks, even_samples, sorted_report,
         range_requests, range_selections, range_summaries, range_kernels, range_waits,
-        focus_windows, viewport_command_buffers,
+        focus_windows, viewport_command_buffers, line_report, malformed_lines, normalized_command_buffers,
+        normalized_operations, normalized_waits, reported_buckets, evidence_grades, strict_violations,
+        curated_windows, curated_rows, curated_verification, run_names, visible_evidence, range_report_figures,
     )
 }
