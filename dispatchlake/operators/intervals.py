@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.functions.guards import checked, is_interval
@@ -53,16 +53,15 @@ def _islands(df: DataFrame, keys: Sequence[str], at_most: int | None = None) ->
             "_top": F.max("end_ns"),
         },
         {},
-        {"_stop_later": F.first("_stop", ignorenulls=True), "_top_later": F.max("_top")},
+        {"_stop_later": F.last("_stop", ignorenulls=True), "_top_later": F.max("_top")},
     )
-    here_on = cut.window.rowsBetween(0, Window.unboundedFollowing)
     return (
         chained.withColumn(
             "_end",
             F.coalesce(
-                F.first(stop, ignorenulls=True).over(cut.after),
+                F.last(stop, ignorenulls=True).over(cut.after),
                 F.col("_stop_later"),
-                F.greatest(F.max("end_ns").over(here_on), F.col("_top_later")),
+                F.greatest(F.max("end_ns").over(cut.from_here), F.col("_top_later")),
             ),
         )
         .filter("_opens")

@@ -120,7 +120,7 @@ def nearest_launch(
         {"_carry_right": F.min("_low")},
     )
     left = F.coalesce(F.last("_launch", ignorenulls=True).over(cut.upto), F.col("_carry_left"))
-    right = F.coalesce(F.first("_launch", ignorenulls=True).over(cut.after), F.col("_carry_right"))
+    right = F.coalesce(F.last("_launch", ignorenulls=True).over(cut.after), F.col("_carry_right"))
     found = rows.withColumn("_left", left).withColumn("_right", right).filter("_kind = 1")
     to_left = F.col("_t") - F.col("_left.end_ns")
     to_right = F.col("_right.start_ns") - F.col("_t")

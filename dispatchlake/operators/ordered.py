@@ -65,9 +65,20 @@ class Blocks:
     def upto(self) -> WindowSpec:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
+    # Frames that end at the end of a partition are recomputed for every row, so what
+    # follows a row is taken as what precedes it in reverse order.
+    @property
+    def _backwards(self) -> WindowSpec:
+        return Window.partitionBy(*self.block_keys).orderBy(*[F.desc(c) for c in self.order])
+
     @property
     def after(self) -> WindowSpec:
-        return self.window.rowsBetween(1, Window.unboundedFollowing)
+        """Rows behind this one, nearest last: use ``last`` for the next value."""
+        return self._backwards.rowsBetween(Window.unboundedPreceding, -1)
+
+    @property
+    def from_here(self) -> WindowSpec:
+        return self._backwards.rowsBetween(Window.unboundedPreceding, 0)
 
     def with_carry(
         self,
@@ -79,14 +90,14 @@ class Blocks:
         """Attach to each row what the other blocks of its key add up to.
 
         ``per_block`` aggregates one block; ``earlier`` and ``later`` combine those
-        results over the blocks before and after the row's own.
+        results over the blocks before and after the row's own, the nearest block last.
         """
         totals = rows.groupBy(*self.block_keys).agg(
             *[value.alias(name) for name, value in per_block.items()]
         )
-        line = Window.partitionBy(*self.keys).orderBy(BLOCK)
-        past = line.rowsBetween(Window.unboundedPreceding, -1)
-        future = line.rowsBetween(1, Window.unboundedFollowing)
+        line = Window.partitionBy(*self.keys)
+        past = line.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        future = line.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
         carried = totals.select(
             *self.block_keys,
             *[value.over(past).alias(name) for name, value in (earlier or {}).items()],

@@ -35,7 +35,9 @@ class Analysis:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return quarantine(self.cbs)
+        """(accepted, quarantined). The accepted ones are written once, most steps start there."""
+        accepted, set_aside = quarantine(self.cbs)
+        return settle(accepted), set_aside
 
     @property
     def quarantined(self) -> DataFrame:
@@ -61,7 +63,7 @@ class Analysis:
     @cached_property
     def partitions(self) -> DataFrame:
         """Launches with the bounds of their command buffers, gap and threshold."""
-        return self._launches.launches
+        return settle(self._launches.launches)
 
     @cached_property
     def dispatches(self) -> DataFrame:
@@ -69,12 +71,12 @@ class Analysis:
 
     @cached_property
     def anchored_waits(self) -> DataFrame:
-        return anchor_waits(self.waits, self._split[0])
+        return settle(anchor_waits(self.waits, self._split[0]))
 
     @cached_property
     def launch_waits(self) -> DataFrame:
         """Waits with anchors and launch; written once."""
-        return settle(assign_waits(self.anchored_waits, self._launches.cbs, self.partitions))
+        return settle(assign_waits(self.anchored_waits, self.command_buffers, self.partitions))
 
     @cached_property
     def trace_summary(self) -> DataFrame:
