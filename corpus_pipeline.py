@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from dispatchlake.llm import quality
+from dispatchlake.llm import exact, ngrams, quality
+from dispatchlake.llm.common import first_of_repeats, rows_of
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rejected = quality.judge(docs).where("NOT kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+    return rows_of(docs, quality.judge(docs).where("kept"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return first_of_repeats(rows_of(docs, exact.deduplicate(docs).where("kept")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of linked ones."""
+    return rows_of(docs, ngrams.link(docs).where("component_id <=> doc_id"))
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
 
 ORACLE_SQL: str | None = None
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dispatchlake.session import checkpoint_dir
 
@@ -72,3 +73,21 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             open_rows.append(batch.slice(first))
     if open_rows:
         yield pa.Table.from_batches(open_rows)
+
+
+def text_key(text: str) -> Column:
+    """Tells apart rows that share an id and not a text."""
+    return F.xxhash64(whole(text))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (``doc_id``, ``text_key``) ``chosen`` has, with the columns of ``docs``."""
+    names = chosen.select(F.col("doc_id").alias("_chosen_id"), F.col("text_key").alias("_chosen_key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_chosen_id")) & (text_key(text_col) == F.col("_chosen_key"))
+    return docs.join(names, same, "left_semi")
+
+
+def first_of_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One of the rows that share an id and a text."""
+    place = F.row_number().over(Window.partitionBy(id_col, text_key(text_col)).orderBy(id_col))
+    return docs.withColumn("_place", place).where("_place = 1").drop("_place")

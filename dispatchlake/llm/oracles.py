@@ -44,6 +44,35 @@ WITH {QUALITY_CTES.replace("{documents}", "documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(kept, NOT base_failed) AS kept FROM judged
 """
 
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, length(t) AS n, regexp_replace(t, '{SPACES}', '', 'g') AS s FROM d)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+  doc_id = first_value(doc_id) OVER g AS kept, sha256(s) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY s ORDER BY n DESC, doc_id)
+"""
+
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
+  )
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+  ) p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 90 * (u.n + v.n - k)
+),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT r.a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": OP4,
+    "op6_ngram_jaccard_join": OP6,
+    "op10_exact_dedup": OP10,
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import SPACE_BYTES, map_slices, staged, whole
+from dispatchlake.llm.common import SPACE_BYTES, map_slices, staged, text_key, whole
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -48,16 +48,16 @@ def measure_text(text: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: ``doc_id``, ``host`` and the figures of ``MEASURES``."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), whole(text_col).cast("binary").alias("text"))
+    """One row per document: ``doc_id``, ``text_key``, ``host`` and the figures of ``MEASURES``."""
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.col(host_col).cast("string").alias("host"), whole(text_col).cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [measure_text(text) for text in batch.column("text").to_pylist()]
         figures = [pa.array(column, pa.int64()) for column in (zip(*rows) if rows else [[]] * 6)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *figures], names=["doc_id", "host", *(m.split()[0] for m in MEASURES.split(", "))])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *figures], names=["doc_id", "text_key", "host", *(m.split()[0] for m in MEASURES.split(", "))])
 
-    return map_slices(source, f"doc_id {kind}, host string, {MEASURES}", work)
+    return map_slices(source, f"doc_id {kind}, text_key long, host string, {MEASURES}", work)
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     measured = staged(measure(docs, id_col, text_col, host_col))
     flagged = host_rates(measured).where(F.col("rate") > host_limit)
-    verdicts = flagged.groupBy("host").agg(*(F.max(F.col("rule") == rule).alias(f"_{rule}") for rule in RULES))
+    verdicts = staged(flagged.groupBy("host").agg(*(F.max(F.col("rule") == rule).alias(f"_{rule}") for rule in RULES)))
     base_host = F.coalesce(F.col("_short") | F.col("_repeats"), F.lit(False))
     bound = [F.expr(test) & (F.coalesce(F.col(f"_{rule}"), F.lit(False)) | base_host) for rule, test in HOST_RULES.items()]
     failed = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(rule)) for rule, test in RULES.items())))
@@ -109,6 +109,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     judged = measured.join(verdicts, "host", "left")
     return judged.select(
         "doc_id",
+        "text_key",
         "host",
         *(m.split()[0] for m in MEASURES.split(", ")),
         failed.alias("failed_rules"),

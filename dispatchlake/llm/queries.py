@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import quality
+from dispatchlake.llm import exact, ngrams, quality
 from dispatchlake.llm.common import documents
 
 
@@ -16,6 +16,18 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document among those that share nine tenths of their word triples."""
+    return ngrams.link(documents(spark, folder), width=3, percent=90).drop("text_key")
+
+
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    return exact.deduplicate(documents(spark, folder)).drop("text_key", "n_chunks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op10_exact_dedup": op10_exact_dedup,
 }
