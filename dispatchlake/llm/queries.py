@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dispatchlake.llm import exact, ngrams, quality
+from dispatchlake.llm import exact, ngrams, pii, quality
 from dispatchlake.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    found = pii.find(documents(spark, folder))
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Figures and verdict of every document."""
     judged = quality.judge(documents(spark, folder))
@@ -27,6 +36,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_quality_rules": op4_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
