@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import exact, ngrams, quality
-from dispatchlake.llm.common import first_of_repeats, rows_of
+from dispatchlake.llm import exact, ngrams, packing, pii, quality
+from dispatchlake.llm.common import first_of_repeats, rows_of, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows_of(docs, ngrams.link(docs).where("component_id <=> doc_id"))
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens, with their ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", mask_personal_data), ("packing", pack)]
 
 ORACLE_SQL: str | None = None
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the host keeps a public tokenizer; executors have the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole(text: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -37,20 +45,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], rows: int = 1000) -> DataFrame:
-    """``work`` over slices of at most ``rows`` rows of every Arrow batch.
+def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``work`` over slices of every Arrow batch, cut by the size of its column ``text``.
 
     A slice bounds what a task holds as Python objects at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                out = work(batch.slice(first, rows))
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+            for part in by_size(batch, "text"):
+                yield work(part)
 
     return df.mapInArrow(run, schema)
 
@@ -91,3 +95,16 @@ def first_of_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One of the rows that share an id and a text."""
     place = F.row_number().over(Window.partitionBy(id_col, text_key(text_col)).orderBy(id_col))
     return docs.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def by_size(batch: pa.RecordBatch, column: str, most: int = 8_000_000, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of a column, one row at least, and at most ``rows`` rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if i > first and (total + size > most or i - first == rows):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += size
+    if first < batch.num_rows:
+        yield batch.slice(first)

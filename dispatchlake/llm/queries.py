@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import exact, ngrams, pii, quality
-from dispatchlake.llm.common import documents
+from dispatchlake.llm import exact, ngrams, packing, pii, quality
+from dispatchlake.llm.common import documents, tokenizer_path
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    packed = packing.pack(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Figures and verdict of every document."""
     judged = quality.judge(documents(spark, folder))
@@ -37,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
