@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import exact, ngrams, packing, pii, quality
+from dispatchlake.llm import exact, ngrams, packing, pieces, pii, quality
 from dispatchlake.llm.common import documents, tokenizer_path
 
 
@@ -19,6 +19,13 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document."""
+    coded = pieces.encode(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     packed = packing.pack(documents(spark, folder), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
@@ -43,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
