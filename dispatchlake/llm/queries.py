@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import exact, ngrams, packing, pieces, pii, quality, toxicity
+from dispatchlake.llm import exact, lines, matrices, ngrams, packing, pieces, pii, quality, toxicity, warc
 from dispatchlake.llm.common import documents, tokenizer_path
 
 
@@ -50,6 +50,23 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.link(documents(spark, folder), width=3, percent=90).drop("text_key")
 
 
+def op7_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """Matrix rows of 2048 ids of all documents."""
+    packed = matrices.pack(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), end_id=50256, pad_id=50256, capacity=2048)
+    return packed.select("sequence_id", F.crc32("ids").alias("ids_crc32"), "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "starts")
+
+
+def op8_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion record of every page."""
+    records = warc.derive(warc.responses(spark.read.parquet(f"{folder}/pages.parquet")))
+    return records.withColumn("record_sha256", F.sha2(warc.serialized(), 256)).drop("headers", "source_headers")
+
+
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every line of all documents: words within one edit of an earlier line."""
+    return lines.judge(documents(spark, folder)).drop("text_key", "row")
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact.deduplicate(documents(spark, folder)).drop("text_key", "n_chunks")
@@ -62,5 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_token_matrices": op7_token_matrices,
+    "op8_warc_derivatives": op8_warc_derivatives,
+    "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
