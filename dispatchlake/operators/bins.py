@@ -11,6 +11,7 @@ from dispatchlake.functions.guards import checked
 from dispatchlake.operators.exposure import gpu_intervals, has_encode
 from dispatchlake.operators.intervals import union_intervals
 from dispatchlake.operators.launches import LAUNCH
+from dispatchlake.operators.skew import salted_join
 
 # Bins per overview, and the spacing in pixels below which dispatches blur.
 DEFAULT_BINS = 512
@@ -39,7 +40,7 @@ def _interval_load(intervals: DataFrame, scopes: DataFrame, bins: int, name: str
     their whole width; so the length of an interval does not matter.
     """
     clipped = (
-        intervals.join(scopes, LAUNCH)
+        salted_join(intervals, scopes, LAUNCH, F.col("start_ns"))
         .select(
             *LAUNCH, "launch_start", "launch_end", "span",
             F.greatest("start_ns", "launch_start").alias("a"),
@@ -82,7 +83,7 @@ def overview_bins(
         return (
             points.filter("launch_index IS NOT NULL AND at_ns IS NOT NULL")
             .select(*LAUNCH, "at_ns", *columns)
-            .join(scopes, LAUNCH)
+            .transform(lambda rows: salted_join(rows, scopes, LAUNCH, F.col("at_ns")))
             .filter("at_ns >= launch_start AND at_ns <= launch_end")
             .withColumn("bin", _bin(F.col("at_ns"), bins))
         )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.ordered import blocks, exact_median
+from dispatchlake.operators.skew import salted_join
+from dispatchlake.session import settle
 
 # A gap opens a launch when it exceeds both.
 MIN_GAP_NS = 100_000_000
@@ -39,7 +41,7 @@ class Launches:
     launches: DataFrame
 
 
-def launch_gaps(cbs: DataFrame, at_most: int | None = None):
+def launch_gaps(cbs: DataFrame):
     """Command buffers in activity order with the idle time before each.
 
     The gap runs from the latest encode or GPU end of everything earlier to this
@@ -47,26 +49,25 @@ def launch_gaps(cbs: DataFrame, at_most: int | None = None):
     row sorts last.
     """
     keyed = cbs.withColumn("_at", F.coalesce(activity_start(), F.lit(UNTIMED)))
-    cut = blocks(keyed, ["trace_id"], ["_at", "line_no"], at_most)
+    cut = blocks(keyed, ["trace_id"], ["_at", "line_no"])
     end = F.greatest("encode_end_ns", "gpu_end_ns")
     rows = cut.with_carry(cut.rows, {"_m": F.max(end)}, {"_carry": F.max("_m")})
     reach = F.greatest(F.col("_carry"), F.max(end).over(cut.before))
-    return cut, cut.hold(rows.withColumn("gap_ns", F.col("encode_start_ns") - reach).drop("_carry"))
+    return cut, settle(rows.withColumn("gap_ns", F.col("encode_start_ns") - reach).drop("_carry"))
 
 
 def partition_launches(
     cbs: DataFrame,
     min_gap_ns: float = MIN_GAP_NS,
     factor: float = MEDIAN_FACTOR,
-    at_most: int | None = None,
 ) -> Launches:
     """Cut each trace where a gap exceeds ``max(min_gap_ns, factor * median gap)``."""
-    cut, rows = launch_gaps(cbs, at_most)
-    median = exact_median(rows.filter("gap_ns > 0"), ["trace_id"], "gap_ns", "_median", cut.at_most)
+    cut, rows = launch_gaps(cbs)
+    median = exact_median(rows.filter("gap_ns > 0"), ["trace_id"], "gap_ns", "_median")
     threshold = F.greatest(F.lit(float(min_gap_ns)), F.lit(float(factor)) * F.col("_median"))
     # greatest() skips NULL, so a trace without positive gaps gets the minimum.
     flagged = (
-        rows.join(median, "trace_id", "left")
+        salted_join(rows, median, ["trace_id"], F.col("line_no"), "left")
         .withColumn("gap_threshold_ns", threshold)
         .withColumn("_cuts", F.coalesce(F.col("gap_ns") > F.col("gap_threshold_ns"), F.lit(False)).cast("long"))
         .drop("_median")
@@ -85,9 +86,7 @@ def partition_launches(
     return Launches(assigned.select(*cbs.columns, "launch_index"), launches)
 
 
-def nearest_launch(
-    points: DataFrame, launches: DataFrame, at_most: int | None = None
-) -> DataFrame:
+def nearest_launch(points: DataFrame, launches: DataFrame) -> DataFrame:
     """Add ``launch_index`` of the launch that contains ``at_ns`` or lies nearest.
 
     ``points`` needs ``trace_id``, ``at_ns`` and a ``line_no`` unique in the trace. Of two equally
@@ -112,7 +111,7 @@ def nearest_launch(
         F.col("line_no").cast("long").alias("_id"),
         F.lit(None).cast(marks.schema["_launch"].dataType).alias("_launch"),
     )
-    cut = blocks(marks.unionByName(asked), ["trace_id"], ["_t", "_kind", "_tie", "_id"], at_most)
+    cut = blocks(marks.unionByName(asked), ["trace_id"], ["_t", "_kind", "_tie", "_id"])
     rows = cut.with_carry(
         cut.rows,
         {"_low": F.min("_launch"), "_high": F.max("_launch")},
@@ -135,24 +134,18 @@ def nearest_launch(
     return points.join(nearest, ["trace_id", "line_no"], "left")
 
 
-def assign_waits(
-    waits: DataFrame, cbs: DataFrame, launches: DataFrame, at_most: int | None = None
-) -> DataFrame:
+def assign_waits(waits: DataFrame, cbs: DataFrame, launches: DataFrame) -> DataFrame:
     """Launch of each wait: the owner's for waits anchored on their command buffer,
     else the nearest one in time; NULL where neither is known."""
     owners = cbs.filter("command_buffer_index IS NOT NULL").select(
         "trace_id", "command_buffer_index", F.col("launch_index").alias("_owner_launch")
     )
-    located = nearest_launch(waits, launches, at_most)
-    fallback = F.col("placement") == "legacy-command-buffer-fallback"
-    return (
-        located.join(owners, ["trace_id", "command_buffer_index"], "left")
-        .withColumn(
-            "launch_index",
-            F.coalesce(F.when(fallback, F.col("_owner_launch")), F.col("launch_index")),
-        )
-        .select(*waits.columns, "launch_index")
-    )
+    located = nearest_launch(waits, launches)
+    # Only waits anchored on their command buffer look for it; most have no owner at all.
+    fallback = F.coalesce(F.col("placement") == "legacy-command-buffer-fallback", F.lit(False))
+    owned = located.filter(fallback).join(owners, ["trace_id", "command_buffer_index"], "left")
+    owned = owned.withColumn("launch_index", F.coalesce("_owner_launch", "launch_index"))
+    return owned.select(*waits.columns, "launch_index").unionByName(located.filter(~fallback).select(*waits.columns, "launch_index"))
 
 
 def omissions(dispatches: DataFrame, waits: DataFrame, launches: DataFrame) -> DataFrame:

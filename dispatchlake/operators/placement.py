@@ -92,19 +92,23 @@ def anchor_waits(waits: DataFrame, cbs: DataFrame) -> DataFrame:
         *OWNER, "encode_end_ns", "encode_start_ns", "gpu_start_ns"
     )
     needed = F.col("at_ns").isNull() & F.col("has_legacy_index") & F.col("command_buffer_index").isNotNull()
-    source = F.when(
-        needed,
+    needed = F.coalesce(needed, F.lit(False))
+    source = (
         F.when(F.col("encode_end_ns").isNotNull(), "command-buffer-encode-end")
         .when(F.col("encode_start_ns").isNotNull(), "command-buffer-encode-start")
-        .when(F.col("gpu_start_ns").isNotNull(), "command-buffer-gpu-start"),
+        .when(F.col("gpu_start_ns").isNotNull(), "command-buffer-gpu-start")
     )
     anchor = F.coalesce("encode_end_ns", "encode_start_ns", "gpu_start_ns")
+    # Waits that need no anchor stay out of the join; most of them have no owner.
+    nothing = F.lit(None).cast("string")
+    others = waits.filter(~needed).select("*", nothing.alias("at_ns_source"), nothing.alias("placement"))
     return (
-        waits.join(owners, OWNER, "left")
+        waits.filter(needed).join(owners, OWNER, "left")
         .withColumn("at_ns_source", source)
         .withColumn("at_ns", F.when(source.isNotNull(), anchor).otherwise(F.col("at_ns")))
         .withColumn("placement", F.when(F.col("at_ns_source").isNotNull(), FALLBACK))
         .select(*waits.columns, "at_ns_source", "placement")
+        .unionByName(others)
     )
 
 

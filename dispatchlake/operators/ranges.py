@@ -17,14 +17,12 @@ from dispatchlake.operators.census import kernel_census, wait_taxonomy, wait_tot
 from dispatchlake.operators.exposure import gpu_intervals, has_encode, has_gpu
 from dispatchlake.operators.intervals import coverage
 from dispatchlake.operators.launches import LAUNCH
+from dispatchlake.operators.ordered import blocks
+from dispatchlake.operators.skew import salted_join
 from dispatchlake.operators.summary import WAIT_COLUMNS
 from dispatchlake.session import settle
 
 RANGE = [*LAUNCH, "range_id"]
-# Ranges up to this many are sent to every task; more are matched cell by cell.
-BROADCAST_RANGES_CONF = "spark.dispatchlake.broadcastRanges"
-BROADCAST_RANGES = 10_000
-CELLS = 64
 SAFE_INTEGER = 2.0**53 - 1
 # Why a launch or a request cannot be analysed.
 NO_CB_TIMING = "missing-command-buffer-timing"
@@ -140,43 +138,106 @@ def _range_side(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _few(ranges: DataFrame) -> bool:
-    limit = int(ranges.sparkSession.conf.get(BROADCAST_RANGES_CONF, str(BROADCAST_RANGES)))
-    return limit > 0 and ranges.count() <= limit
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+
+
+def _cover(low: Column, high: Column, levels: int) -> Column:
+    """The fewest aligned blocks of 2^k numbers that make up low..high; none when it is empty."""
+
+    def at(k: Column) -> Column:
+        step = _power(k)
+        first = F.floor((low + step - 1) / step)
+        stop = F.floor((high + 1) / step)
+        left = F.when((first < stop) & (first % 2 == 1), F.struct(k.alias("level"), first.cast("bigint").alias("block")))
+        right = F.when((first < stop) & (stop % 2 == 1), F.struct(k.alias("level"), (stop - 1).cast("bigint").alias("block")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def _above(number: Column, levels: int) -> Column:
+    """The blocks of all levels that hold a number."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(levels)),
+        lambda k: F.struct(k.alias("level"), F.floor(number / _power(k)).cast("bigint").alias("block")),
+    )
+
+
+def _levels(ranges: DataFrame) -> int:
+    """Levels that blocks of edge numbers need: the logarithm of the most edges in one launch."""
+    most = ranges.groupBy(*LAUNCH).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (2 * (most or 0) + 1).bit_length()
 
 
 def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column) -> DataFrame:
     """Pair rows of a launch with the ranges that [start, end] touches, ends included.
 
-    Few ranges (counted) are broadcast. Otherwise the stretch of a launch that has
-    ranges is cut into cells; both sides go to the cells they touch, and a pair is
-    kept only in the cell where its common part begins.
+    The edges of a launch's ranges are numbered in time order, in one sweep together
+    with the starts and ends of the rows. A range then is a run of numbers between its
+    edges, and a row's start is in it when its number is in the run. Runs are covered by
+    aligned blocks, of which a number has one per level, so an equi-join on blocks finds
+    just the ranges around a row's start. The ranges that begin later inside the row
+    are found the other way round: the row is the run, the range's start the number. No
+    row meets a range that it does not touch, and a launch with many ranges or rows is
+    spread over its blocks.
     """
     side = _range_side(ranges)
-    keyed = rows.withColumn("_a", start).withColumn("_b", end).filter("_a IS NOT NULL AND launch_index IS NOT NULL")
-    touching = (F.col("_b") >= F.col("range_start_ns")) & (F.col("_a") <= F.col("range_end_ns"))
-    if _few(ranges):
-        return keyed.join(F.broadcast(side), LAUNCH).filter(touching).drop("_a", "_b")
-    extent = side.groupBy(*LAUNCH).agg(
-        F.min("range_start_ns").alias("_low"), F.max("range_end_ns").alias("_high")
+    keyed = rows.withColumn("_a", start).withColumn("_b", end).filter("_a IS NOT NULL AND _b >= _a AND launch_index IS NOT NULL")
+    keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
+    keyed = settle(keyed.join(side.select(*LAUNCH).distinct(), LAUNCH, "left_semi"))
+    levels = _levels(side)
+
+    def tokens(df: DataFrame, at: str, kind: int, ident: Column) -> DataFrame:
+        # In time order; at equal times range starts, then rows, then range ends.
+        return df.select(*LAUNCH, F.col(at).alias("_t"), F.lit(kind).alias("_kind"), ident.alias("_ident"))
+
+    row, name = F.col("_row").cast("string"), F.col("range_id").cast("string")
+    swept = (
+        tokens(side, "range_start_ns", 0, name)
+        .unionByName(tokens(keyed, "_a", 1, row))
+        .unionByName(tokens(keyed.filter("_b > _a"), "_b", 2, row))
+        .unionByName(tokens(side, "range_end_ns", 3, name))
     )
-
-    def cell(value: Column) -> Column:
-        share = (value - F.col("_low")) / (F.col("_high") - F.col("_low"))
-        return F.least(F.greatest(F.floor(share * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-
-    def cells(first: Column, last: Column) -> Column:
-        return F.explode(F.sequence(cell(first), F.greatest(cell(first), cell(last))))
-
-    left = (
-        keyed.join(extent, LAUNCH)
-        .filter("_b >= _low AND _a <= _high")
-        .withColumn("_cell", cells(F.col("_a"), F.col("_b")))
+    cut = blocks(swept, LAUNCH, ["_t", "_kind", "_ident"])
+    is_edge, is_start = F.col("_kind").isin(0, 3).cast("long"), (F.col("_kind") == 0).cast("long")
+    carried = cut.with_carry(
+        cut.rows.withColumn("_edge", is_edge).withColumn("_begin", is_start),
+        {"_n": F.sum("_edge"), "_m": F.sum("_begin")},
+        {"_n_before": F.sum("_n"), "_m_before": F.sum("_m")},
     )
-    right = side.join(extent, LAUNCH).withColumn("_cell", cells(F.col("range_start_ns"), F.col("range_end_ns")))
-    pairs = left.join(right.drop("_low", "_high"), [*LAUNCH, "_cell"]).filter(touching)
-    begins = cell(F.greatest("_a", "range_start_ns"))
-    return pairs.filter(F.col("_cell") == begins).drop("_a", "_b", "_cell", "_low", "_high")
+    # For a range edge the number counts the edge itself.
+    numbered = settle(
+        carried.select(
+            *LAUNCH,
+            "_kind",
+            "_ident",
+            (F.coalesce("_n_before", F.lit(0)) + F.sum("_edge").over(cut.upto)).alias("_number"),
+            (F.coalesce("_m_before", F.lit(0)) + F.sum("_begin").over(cut.upto)).alias("_begun"),
+        )
+    )
+
+    def kind(number: int, *columns: Column) -> DataFrame:
+        return numbered.filter(F.col("_kind") == number).select(*LAUNCH, "_ident", *columns)
+
+    starts = kind(0, F.col("_number").alias("_from"), F.col("_begun").alias("_place"))
+    ends = kind(3, (F.col("_number") - 1).alias("_to"))
+    placed = side.withColumn("_ident", name).join(starts, [*LAUNCH, "_ident"]).join(ends, [*LAUNCH, "_ident"]).drop("_ident")
+    placed = settle(placed)
+    firsts = kind(1, F.col("_number").alias("_at"), F.col("_begun").alias("_after"))
+    lasts = kind(2, F.col("_begun").alias("_upto"))
+    located = settle(keyed.withColumn("_ident", row).join(firsts, [*LAUNCH, "_ident"]).join(lasts, [*LAUNCH, "_ident"], "left").drop("_ident"))
+
+    block = ["_c.level", "_c.block"]
+    tail = [c for c in placed.columns if c not in ("_from", "_to", "_place", *LAUNCH)]
+    around = located.select(*rows.columns, F.explode(_above(F.col("_at"), levels)).alias("_c")).select(*rows.columns, *block)
+    runs = placed.select(*LAUNCH, *tail, F.explode(_cover(F.col("_from"), F.col("_to"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
+    by_start = around.join(runs, [*LAUNCH, "level", "block"])
+    inside = located.filter("_upto > _after").select(*rows.columns, F.explode(_cover(F.col("_after") + 1, F.col("_upto"), levels)).alias("_c")).select(*rows.columns, *block)
+    begun = placed.select(*LAUNCH, *tail, F.explode(_above(F.col("_place"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
+    by_begin = inside.join(begun, [*LAUNCH, "level", "block"])
+    kept = [*rows.columns, *tail]
+    return by_start.select(*kept).unionByName(by_begin.select(*kept))
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -341,7 +402,7 @@ def focus_ranges(cbs: DataFrame, dispatches: DataFrame, waits: DataFrame, launch
     far = (F.col("bucket") == "cb_wait_until_completed") & (F.col("at_ns") > F.col("_e") + near)
     waited = (
         waits.filter("launch_index IS NOT NULL AND at_ns IS NOT NULL")
-        .join(active, LAUNCH, "left")
+        .transform(lambda rows: salted_join(rows, active, LAUNCH, F.col("at_ns"), "left"))
         .filter(~F.coalesce(far, F.lit(False)))
         .groupBy(*LAUNCH)
         .agg(F.min("at_ns").alias("_ws"), F.max("at_ns").alias("_we"), F.count(F.lit(1)).alias("_wn"))

@@ -13,7 +13,6 @@ from dispatchlake.operators.census import kernel_census, wait_taxonomy
 from dispatchlake.operators.exposure import encode_coverage, exposure
 from dispatchlake.operators.intervals import Coverage
 from dispatchlake.operators.launches import LAUNCH, Launches, assign_waits, omissions, partition_launches
-from dispatchlake.operators.ordered import counted
 from dispatchlake.operators.placement import anchor_waits, place, quarantine
 from dispatchlake.operators.ranges import range_availability
 from dispatchlake.operators.summary import summarize
@@ -43,17 +42,13 @@ class Analysis:
     def quarantined(self) -> DataFrame:
         return self._split[1]
 
-    @cached_property
-    def _rows(self) -> int | None:
-        return counted(self._split[0])
-
     @cached_property
     def coverage(self) -> Coverage:
-        return encode_coverage(self._split[0], self._rows)
+        return encode_coverage(self._split[0])
 
     @cached_property
     def _launches(self) -> Launches:
-        return partition_launches(self._split[0], at_most=self._rows)
+        return partition_launches(self._split[0])
 
     @cached_property
     def command_buffers(self) -> DataFrame:
@@ -67,7 +62,8 @@ class Analysis:
 
     @cached_property
     def dispatches(self) -> DataFrame:
-        return place(self.ops, self.command_buffers)
+        """Dispatches with position and launch; the largest join, so written once."""
+        return settle(place(self.ops, self.command_buffers))
 
     @cached_property
     def anchored_waits(self) -> DataFrame:

@@ -37,8 +37,8 @@ PIECES: dict[str, str] = {
                CAST(round(1000 * value) AS BIGINT) AS wait_ns,
                CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0
                     THEN (event_id % 41) * 60000000000 + ((event_id * 104729) % 620) * 1000000 END AS raw_at,
-               CASE WHEN event_id % 7 = 0 THEN event_id % 1500 END AS owner
-        FROM events LEFT JOIN tr ON event_id % 7 = 0 AND event_id % 1500 = tr.k""",
+               CASE WHEN event_id % 7 = 0 THEN event_id % (SELECT max(o_orderkey) + 1 FROM orders) END AS owner
+        FROM events LEFT JOIN tr ON event_id % 7 = 0 AND event_id % (SELECT max(o_orderkey) + 1 FROM orders) = tr.k""",
     "isl_start": """
         SELECT DISTINCT trace_id, gs AS t FROM cb a WHERE NOT EXISTS
           (SELECT 1 FROM cb b WHERE b.trace_id = a.trace_id AND b.gs < a.gs AND b.ge >= a.gs)""",

@@ -452,7 +452,10 @@ def visible_evidence(spark: SparkSession, folder: str) -> DataFrame:
     asked = focus.select(
         *LAUNCH, F.lit("focus").alias("range_id"), F.col("focus_start_ns").alias("start_ns"), F.col("focus_end_ns").alias("end_ns")
     )
-    found = documents.evidence_documents(documents.document_pieces(a, asked))
+    parts = documents.evidence_documents(documents.document_pieces(a, asked))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    # Figures of a whole document; the parts of one viewport are put together here only to be read.
+    found = parts.groupBy(*ranges.RANGE, "file_name").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
     member = lambda path: F.get_json_object("text", path)
     return found.select(
         *LAUNCH,

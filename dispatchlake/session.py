@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the session names.
 
     On a cluster ``spark.checkpoint.dir`` must name shared storage. A private
-    folder is made only when nothing is set, which is the case in local tests.
+    folder is made only when nothing is set, which is the case in local tests; it
+    goes when Python ends.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -22,15 +28,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="dispatchlake-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy.
+    """Write ``df`` as Parquet to the checkpoint folder and go on from the written copy.
 
-    Used where two branches of a plan must see one and the same assignment of
-    rows to blocks, also after an executor is lost.
+    Used where several branches of a plan must see one and the same assignment of
+    rows to blocks, also after an executor is lost. Each branch reads only the
+    columns it needs. ``drop_settled`` removes the copies.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Remove the copies that ``settle`` wrote in this session; results that read them must be stored by then."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,8 +14,6 @@ CAPTURE_FILES = "*.{[jJ][sS][oO][nN][lL],[nN][dD][jJ][sS][oO][nN]}"
 MOST_CHARACTERS = 4 * 1024 * 1024
 PREVIEW = 200
 BLANK = r"^[\s   -     　﻿]*+$"
-# Splits up to this many are sent to every task.
-FEW_SPLITS = 100_000
 
 
 def root_uri(spark: SparkSession, root: str) -> str:
@@ -50,9 +48,11 @@ def scan_lines(spark: SparkSession, root: str, parts: bool = False) -> DataFrame
     With ``parts`` a capture is a folder of part files in order, as ``write_curated``
     writes them, instead of a single file.
 
-    Files are read in splits, in parallel. A line's number is its place in its
-    split plus the lines of earlier splits of the file; the per-split counts are the
-    only thing summed up, and the text itself is never shuffled when they are few.
+    Files are read once, in splits, in parallel, and stored with the split of each
+    line and its place in it. A line's number is that place plus the lines of earlier
+    splits of the capture. Counts and lines both come from the stored copy: how the
+    files are cut into splits changes with the number of executors, and a file may
+    grow, so nothing is ever matched against a second read of the text.
     """
     allow_repeated_keys(spark)
     read = (
@@ -68,19 +68,19 @@ def scan_lines(spark: SparkSession, root: str, parts: bool = False) -> DataFrame
             "value",
         )
     )
+    stored = settle(read)
     capture = F.regexp_replace("_file", "/[^/]*$", "") if parts else F.col("_file")
-    earlier = (
-        Window.partitionBy(capture).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    splits = settle(
-        read.groupBy("_file", "_start")
+    # Part files by their number: part-100000 comes after part-99999.
+    part = F.regexp_extract("_file", r"/part-([0-9]+)[^/]*$", 1).try_cast("bigint")
+    earlier = Window.partitionBy(capture).orderBy(part, "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        stored.groupBy("_file", "_start")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    side = F.broadcast(splits) if splits.count() <= FEW_SPLITS else splits
     path = relative_path(capture, root_uri(spark, root))
-    return read.join(side, ["_file", "_start"]).select(
+    return stored.join(splits, ["_file", "_start"]).select(
         trace_id(path).alias("trace_id"),
         path.alias("relative_path"),
         (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"),

@@ -99,7 +99,8 @@ def waits(spark: SparkSession, folder: str) -> DataFrame:
     event = F.col("event_id")
     owned = event % 7 == 0
     bare = (event % 11 == 0) & ~owned
-    owner = F.when(owned, event % 1500)
+    orders = read_table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0]
+    owner = F.when(owned, event % (orders + 1))
     at = (event % 41) * 60_000_000_000 + ((event * 104729) % 620) * 1_000_000
     mapping = F.create_map(*[F.lit(v) for pair in BUCKET_OF_EVENT.items() for v in pair])
     events = read_table(spark, folder, "events").select(

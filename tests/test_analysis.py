@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from dispatchlake.operators import ranges
 from dispatchlake.operators.launches import LAUNCH
 from dispatchlake.operators.marks import sort_rows
 from dispatchlake.operators.normalize import normalize
-from dispatchlake.operators.ordered import SINGLE_BLOCK_CONF
 from dispatchlake.operators.placement import quarantine
 from dispatchlake.plans.analysis import Analysis
 from dispatchlake.plans.queries import QUERIES
@@ -92,11 +93,17 @@ def test_whole_launch_range_equals_the_launch(spark):
     names = [c for c in a.launch_summary.columns]
     expected = sorted(map(tuple, a.launch_summary.select(*names).collect()))
     assert sorted(map(tuple, ranges.analyze_ranges(*args).summary.select(*names).collect())) == expected
-    spark.conf.set(ranges.BROADCAST_RANGES_CONF, "0")
-    try:
-        assert sorted(map(tuple, ranges.analyze_ranges(*args).summary.select(*names).collect())) == expected
-    finally:
-        spark.conf.unset(ranges.BROADCAST_RANGES_CONF)
+
+
+def test_rows_meet_exactly_the_ranges_they_touch(spark):
+    rng = random.Random(4)
+    asked = [(f"t{i % 2}", i % 3, f"r{i}", float(a := rng.randint(0, 60)), float(a + rng.randint(1, 30))) for i in range(60)]
+    rows = [(f"t{i % 2}", rng.choice([0, 1, 2, 9, None]), i, float(a := rng.randint(-5, 95)), float(a + rng.choice([0, 0, 1, 9, 70]))) for i in range(200)]
+    side = spark.createDataFrame(asked, "trace_id string, launch_index int, range_id string, start_ns double, end_ns double")
+    left = spark.createDataFrame(rows, "trace_id string, launch_index int, line_no int, a double, b double")
+    got = ranges.match_ranges(left, side, F.col("a"), F.col("b")).select("line_no", "range_id", "range_start_ns").collect()
+    want = sorted((n, r, s) for t, l, n, a, b in rows for u, m, r, s, e in asked if (t, l) == (u, m) and b >= s and a <= e)
+    assert sorted(map(tuple, got)) == want
 
 
 def test_range_errors(spark):
@@ -128,11 +135,9 @@ def test_sort_is_stable_in_both_directions(spark):
 def test_many_blocks_give_the_same_answer(spark, name):
     folder = "/root/testdata/sf0.001"
     plain = sorted(map(tuple, QUERIES[name](spark, folder).collect()), key=repr)
-    spark.conf.set(SINGLE_BLOCK_CONF, "0")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         cut = sorted(map(tuple, QUERIES[name](spark, folder).collect()), key=repr)
     finally:
-        spark.conf.unset(SINGLE_BLOCK_CONF)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert cut == plain

@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 
 from dispatchlake.operators.intervals import coverage, intersect_intervals, subtract_intervals, union_intervals
 from dispatchlake.operators.marks import even_sample
-from dispatchlake.operators.ordered import SINGLE_BLOCK_CONF, exact_median, with_rank
+from dispatchlake.operators.ordered import exact_median, with_rank
 
 KEYS = ["trace_id"]
 
 
-@pytest.fixture(params=["1000000", "0"], ids=["one-block", "many-blocks"], autouse=True)
+@pytest.fixture(params=["true", "false"], ids=["one-block", "many-blocks"], autouse=True)
 def block_mode(request, spark):
-    spark.conf.set(SINGLE_BLOCK_CONF, request.param)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false" if request.param == "0" else "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
     yield
-    spark.conf.unset(SINGLE_BLOCK_CONF)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -122,11 +123,46 @@ def test_catalogue(spark):
     problems = {r["relative_path"]: r["problem"] for r in catalog.reconcile(entries, files).collect()}
     assert problems == {"../x.jsonl": "unsafe-path", "empty.jsonl": "not-in-manifest", "sub/a.JSONL": "not-in-manifest"}
     assert catalog.id_collisions(files).count() == 0
-    assert catalog.fingerprint(spark, root).select("source_sha256").distinct().count() == 1
+    assert catalog.fingerprint(scan_lines(spark, root)).select("source_sha256").distinct().count() == 1
+    hashed = {r["trace_id"]: r["source_sha256"] for r in catalog.fingerprint(scan_lines(spark, root), files).collect()}
+    assert hashed[files.filter("name = 'empty.jsonl'").first()["trace_id"]] == hashlib.sha256().hexdigest() and len(hashed) == 3
     broken = folder({"traces.json": '{"schema_version": 2, "traces": {}}'})
     assert [r["warning"] for r in catalog.read_manifest(spark, broken)[2].collect()] == ["manifest-schema"]
 
 
+def test_scan_keeps_every_line_when_splits_change(spark):
+    """The number of splits depends on the cores at planning time; a scan must not."""
+    root = folder({"a.jsonl": "".join(f"line {i}\n" for i in range(60_000)), "b.jsonl": "x\r\n\ny"})
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        read = scan_lines(spark, root)
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        got = read.select("relative_path", "line_no", "value").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    a = {r["line_no"]: r["value"] for r in got if r["relative_path"] == "a.jsonl"}
+    assert a == {i + 1: f"line {i}" for i in range(60_000)}
+    assert {r["line_no"]: r["value"] for r in got if r["relative_path"] == "b.jsonl"} == {1: "x\r", 2: "", 3: "y"}
+
+
+def test_fingerprints_are_those_of_the_bytes(spark):
+    """With and without a last line end, a byte order mark, bytes that are no UTF-8, in many splits."""
+    kinds = {"a": b"x\ny\n", "b": b"x\ny", "c": b"\xef\xbb\xbfx\n", "d": b"\xef\xbb\xbfx", "e": b"\n", "f": b"\xff\xfe\r\n\n\x80", "g": b"0123456789\n" * 5000}
+    root = folder({})
+    for name, data in kinds.items():
+        with open(f"{root}/{name}.jsonl", "wb") as out:
+            out.write(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines = scan_lines(spark, root)
+        found = catalog.fingerprint(lines).join(lines.select("trace_id", "relative_path").distinct(), "trace_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["relative_path"][0]: r["source_sha256"] for r in found} == {k: hashlib.sha256(v).hexdigest() for k, v in kinds.items()}
+
+
 def test_run_names(spark):
     good = "own--re.po__me-1__2024-02-29t10-20-30z.window-cb64.jsonl"
     wrong = [
