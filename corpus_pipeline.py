@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dispatchlake.llm import exact, ngrams, packing, pii, quality
-from dispatchlake.llm.common import first_of_repeats, rows_of, tokenizer_path
+from dispatchlake.llm.common import rows_of, rows_once, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return first_of_repeats(rows_of(docs, exact.deduplicate(docs).where("kept")))
+    return rows_once(docs, exact.deduplicate(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dispatchlake.session import checkpoint_dir
 
@@ -91,10 +90,17 @@ def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col
     return docs.join(names, same, "left_semi")
 
 
-def first_of_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One of the rows that share an id and a text."""
-    place = F.row_number().over(Window.partitionBy(id_col, text_key(text_col)).orderBy(id_col))
-    return docs.withColumn("_place", place).where("_place = 1").drop("_place")
+def rows_once(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (``doc_id``, ``text_key``, ``kept``; one row per document) keeps, repeated rows once.
+
+    Only where an id and a text repeat are rows compared with each other; all
+    others go through one join.
+    """
+    names = verdicts.groupBy(F.col("doc_id").alias("_chosen_id"), F.col("text_key").alias("_chosen_key")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_copies"))
+    same = F.col(id_col).eqNullSafe(F.col("_chosen_id")) & (text_key(text_col) == F.col("_chosen_key"))
+    joined = docs.join(staged(names.where("_kept")), same)
+    repeated = joined.where("_copies > 1").dropDuplicates(["_chosen_id", "_chosen_key"])
+    return joined.where("_copies = 1").unionByName(repeated).select(docs.columns)
 
 
 def by_size(batch: pa.RecordBatch, column: str, most: int = 8_000_000, rows: int = 1000) -> Iterator[pa.RecordBatch]:

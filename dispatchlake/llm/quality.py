@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from dispatchlake.llm.common import SPACE_BYTES, map_slices, staged, text_key, whole
 
 WINDOW = 5
+#: Documents that the prior of a host's failure rate is worth at the least.
+LEAST_WEIGHT = 20.0
 SYMBOLS = b"#*$%&|<>"
 
 #: Base rules reject a document by themselves. The others bind only where the host has failed them.
@@ -64,8 +66,9 @@ def host_rates(measured: DataFrame) -> DataFrame:
     """Failures of every rule by host, and the rate shrunk towards all hosts.
 
     The prior of a rule is a beta distribution with the mean and the spread of
-    the hosts' rates (by moments; what sampling alone spreads is taken off). A
-    host of few documents stays near the mean; a large one keeps its own rate.
+    the hosts' rates (by moments; what sampling alone spreads is taken off), worth
+    ``LEAST_WEIGHT`` documents at least. A host of few documents stays near the
+    mean; a large one keeps its own rate.
     Hosts are summed in every task before the shuffle, so a host that holds a
     third of all rows is no more work than another.
     """
@@ -80,7 +83,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     spread = F.col("squares") / F.col("all_n") - F.col("mean") * F.col("mean")
     chance = F.col("mean") * (1 - F.col("mean")) * F.col("hosts") / F.col("all_n")
     between = F.greatest(spread - chance, F.lit(1e-6))
-    weight = F.greatest(F.col("mean") * (1 - F.col("mean")) / between - 1, F.lit(1.0))
+    weight = F.greatest(F.col("mean") * (1 - F.col("mean")) / between - 1, F.lit(LEAST_WEIGHT))
     priors = totals.select("rule", (F.col("mean") * weight).alias("a"), ((1 - F.col("mean")) * weight).alias("b"))
     return by_rule.join(priors, "rule").select("host", "rule", "n", "failed", ((F.col("failed") + F.col("a")) / (F.col("n") + F.col("a") + F.col("b"))).alias("rate"))
 

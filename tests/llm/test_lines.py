@@ -77,6 +77,7 @@ def test_small_tables(spark):
         texts[d] = "\n".join(mine)
     docs = spark.createDataFrame([(d, t, "x") for d, t in texts.items()], "doc_id long, text string, digest string").repartition(5)
     assert verdicts(lines.judge(docs).collect()) == brute(texts)
+    assert verdicts(lines.judge(docs, filter_bits=6).collect()) == brute(texts)
     assert lines.judge(docs.where("false")).count() == 0
     twice = lines.judge(docs.where("doc_id = 4").union(docs.where("doc_id = 4"))).collect()
     assert sorted((r.line_no, r.kept) for r in twice) == [(0, False), (0, True), (1, False), (1, False)]
