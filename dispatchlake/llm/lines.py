@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import map_slices, rows_of, staged, text_key, whole
+from dispatchlake.llm.common import map_slices, staged, text_key, whole
 
 _STEP, _PLACE, _MIX = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _HIGH = np.uint64(32)
@@ -58,48 +58,81 @@ def within_one(one: list, other: list) -> bool:
     return one[i + (len(one) >= len(other)) :] == other[i + (len(other) >= len(one)) :]
 
 
+def line_hash(joined: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(joined)
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """One row per line: where it is, its number of words, a digest of the words, and ``half_keys`` if it is long enough."""
+    """One row per line: where it is, its number of words, a digest and a hash (``line``) of the words, and ``half_keys`` if it is long enough."""
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"), whole(text_col).cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, numbers, sizes, digests, keys = [], [], [], [], []
+        index, numbers, sizes, digests, hashes, keys = [], [], [], [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             for number, line in enumerate(text.split(b"\n")):
                 words = line.split()
                 index.append(i)
                 numbers.append(number)
                 sizes.append(len(words))
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                joined = b" ".join(words)
+                digests.append(xxhash.xxh3_128_digest(joined) if words else None)
+                hashes.append(line_hash(joined))
                 keys.append(half_keys(words) if len(words) >= least_words else None)
         place = pa.array(index, pa.int64())
         columns = [batch.column(c).take(place) for c in ("doc_id", "text_key", "row")]
-        columns += [pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "row", "line_no", "n_words", "digest", "keys"])
+        columns += [pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "row", "line_no", "n_words", "digest", "line", "keys"])
+
+    return map_slices(source, f"doc_id {kind}, text_key long, row long, line_no int, n_words int, digest binary, line long, keys array<long>", work)
+
+
+def _filter_of(lines: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the column ``line``: 2^bits bits, whatever the number of rows.
+
+    The bits are put together by Spark, 64 at a time; the driver gets 2^(bits - 6)
+    numbers at most.
+    """
+    places = F.explode(F.array(*(F.expr(f"shiftrightunsigned(line, {shift}) & {(1 << bits) - 1}L") for shift in (0, 32)))).alias("bit")
+    words = lines.select(places).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("ones"))
+    found = words.toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found.column("word").to_numpy()] = found.column("ones").to_numpy()
+    return table.view(np.uint64)
 
-    return map_slices(source, f"doc_id {kind}, text_key long, row long, line_no int, n_words int, digest binary, keys array<long>", work)
 
+def _passes(table: np.ndarray, line: int) -> bool:
+    mask = len(table) * 64 - 1
+    return all(int(table[(line >> shift & mask) >> 6]) >> (line >> shift & 63) & 1 for shift in (0, 32))
 
-def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``words`` of the lines at ``places`` (doc_id, text_key, line_no, ...). Only documents that have one are moved."""
-    source = rows_of(docs, places, id_col, text_col)
-    source = source.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), whole(text_col).cast("binary").alias("text"))
-    source = source.dropDuplicates(["doc_id", "text_key"])
+
+def _texts(docs: DataFrame, places: DataFrame, near: DataFrame, id_col: str, text_col: str, least_words: int, bits: int) -> DataFrame:
+    """``places`` (doc_id, text_key, line_no, ...) with the ``words`` of their lines.
+
+    A second pass over the texts takes out the lines that a Bloom filter of ``near``
+    lets pass, so that of the others nothing moves; the join is exact. A table with
+    more near lines than the filter can tell apart moves more lines, no fewer.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), whole(text_col).cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(near, bits))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = sent.value
         index, numbers, lines = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             for number, line in enumerate(text.split(b"\n")):
-                index.append(i)
-                numbers.append(number)
-                lines.append(b" ".join(line.split()))
+                words = line.split()
+                joined = b" ".join(words)
+                if len(words) >= least_words and _passes(table, line_hash(joined)):
+                    index.append(i)
+                    numbers.append(number)
+                    lines.append(joined)
         place = pa.array(index, pa.int64())
         columns = [batch.column(c).take(place) for c in ("doc_id", "text_key")] + [pa.array(numbers, pa.int32()), pa.array(lines, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_line", "words"])
 
-    lines = map_slices(source, f"_id {kind}, _key long, _line int, words binary", work)
+    lines = map_slices(source, f"_id {kind}, _key long, _line int, words binary", work).dropDuplicates(["_id", "_key", "_line"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")) & (F.col("line_no") == F.col("_line"))
     return places.join(lines, same).drop("_id", "_key", "_line")
 
@@ -108,7 +141,7 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "line_no")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, filter_bits: int = 26) -> DataFrame:
     """Verdict on every line: ``doc_id``, ``text_key``, ``row``, ``line_no``, ``n_words``, ``kept``, and the line it repeats.
 
     A line goes when an earlier one, by document id and line number, has the
@@ -118,7 +151,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     Equal lines are one row each from the start. Of the others only those that
     share the outer half of their words with another can be within one edit;
-    they alone emit all their deletion neighbours as hashed keys. All lines of a
+    they alone are read again (past a filter of ``2 ** filter_bits`` bits) and emit all their deletion neighbours as hashed keys. All lines of a
     key are within one edit of each other, so the earliest of a key serves all,
     and a key that very many lines share costs no more than its rows. Each pair
     taken is verified word by word.
@@ -130,14 +163,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     rows = staged(line_rows(docs, id_col, text_col, least_words))
     first = F.min(F.struct(_place().alias("place"), "text_key")).alias("first")
-    distinct = staged(rows.where("n_words > 0").groupBy("digest").agg(first, F.count("*").alias("times"), F.first("keys").alias("keys")))
-    places = distinct.where("keys IS NOT NULL").select("digest", "first.place.*", "first.text_key", "keys")
-
-    keyed = places.select("digest", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("digest").distinct()
-    chosen = places.drop("keys").join(near, "digest", "left_semi")
-    worded = _texts(docs, staged(chosen), id_col, text_col).orderBy("missing", "doc_id", "row", "line_no")
+    distinct = staged(rows.where("n_words > 0").groupBy("digest").agg(first, F.count("*").alias("times"), F.max("line").alias("line")))
+
+    keyed = rows.where("keys IS NOT NULL").select("line", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least < most").select("key")
+    near = staged(keyed.join(shared, "key", "left_semi").select("line").distinct())
+    chosen = distinct.join(near, "line", "left_semi").select("digest", "first.place.*", "first.text_key")
+    worded = _texts(docs, chosen, near, id_col, text_col, least_words, filter_bits).orderBy("missing", "doc_id", "row", "line_no")
     ranked = staged(worded.withColumn("rank", F.monotonically_increasing_id()))  # grows with the place
 
     def neighbours(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,7 +192,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     matched = map_slices(pairs, f"digest binary, partner {kind}", verify)
     known = staged(distinct.join(matched, "digest", "left").where("times > 1 OR partner IS NOT NULL").select("digest", F.col("first.place").alias("first"), "partner"))
 
-    joined = rows.drop("keys").join(known, "digest", "left")
+    joined = rows.drop("keys", "line").join(known, "digest", "left")
     is_first = F.col("first").isNull() | ((F.col("first.row") == F.col("row")) & (F.col("first.line_no") == F.col("line_no")))
     kept = F.col("partner").isNull() & is_first
     target = F.when(F.col("partner").isNotNull(), F.struct(F.col("partner.doc_id").alias("doc_id"), F.col("partner.line_no").alias("line_no"), F.lit(1).alias("edits"))).otherwise(
