@@ -15,7 +15,7 @@ SAMPLE_LIMITS = {"dispatches": 4000, "command_buffers": 3000, "waits": 2000}
 
 
 def marks(dispatches: DataFrame, waits: DataFrame) -> DataFrame:
-    """Placed dispatches and anchored waits as one series; at equal times dispatches first."""
+    """Placed dispatches and anchored waits together; ``MARK_ORDER`` puts dispatches first at equal times."""
     def side(df: DataFrame, kind: str, label: str, rank: int) -> DataFrame:
         return df.filter("at_ns IS NOT NULL").select(
             "trace_id", "at_ns", F.lit(kind).alias("kind"), F.col(label).alias("label"), "line_no",
@@ -28,6 +28,12 @@ def marks(dispatches: DataFrame, waits: DataFrame) -> DataFrame:
 MARK_ORDER = ["at_ns", "kind_rank", "line_no"]
 
 
+def ordered_marks(dispatches: DataFrame, waits: DataFrame) -> DataFrame:
+    """The marks of each trace numbered from 0 in time order (``place``); neighbours have neighbouring numbers."""
+    ranked = with_rank(marks(dispatches, waits), ["trace_id"], MARK_ORDER)
+    return ranked.withColumnRenamed("_rank", "place").drop("_total")
+
+
 def even_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
     """``limit`` rows per key at even distances, first and last included; all if fewer.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.operators.ordered import with_rank
+
 OWNER = ["trace_id", "command_buffer_index"]
 FALLBACK = "legacy-command-buffer-fallback"
 
@@ -113,5 +115,6 @@ def anchor_waits(waits: DataFrame, cbs: DataFrame) -> DataFrame:
 
 
 def dispatch_order(dispatches: DataFrame) -> DataFrame:
-    """Sorted per trace by sequence, then source order; rows without sequence last."""
-    return dispatches.orderBy("trace_id", F.col("seq").asc_nulls_last(), "line_no")
+    """Numbered per trace from 0 (``place``) by sequence, then source order; rows without sequence last."""
+    keyed = dispatches.withColumn("_by", F.coalesce("seq", F.lit(float("inf"))))
+    return with_rank(keyed, ["trace_id"], ["_by", "line_no"]).withColumnRenamed("_rank", "place").drop("_by", "_total")

@@ -553,5 +553,18 @@ PIECES["seen"] = """
       ON o.trace_id = lcb.trace_id AND o.launch = lcb.launch AND o.owner = lcb.k
     WHERE (greatest(ee, ge) >= a AND least(es, gs) <= b) OR w BETWEEN a AND b"""
 
+ORACLES["ordered_marks"] = """
+    SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY at_ns, kind_rank, line_no) - 1 AS place, kind, round(at_ns, 3) AS at_ns FROM (
+      SELECT trace_id, CAST(at_ns AS DOUBLE) AS at_ns, 0 AS kind_rank, 'dispatch' AS kind, line_no FROM pl WHERE at_ns IS NOT NULL
+      UNION ALL SELECT trace_id, CAST(at_ns AS DOUBLE), 1, 'wait', line_no FROM aw WHERE at_ns IS NOT NULL)"""
+ORACLES["dispatch_ranks"] = """
+    SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq, line_no) - 1 AS place, CAST(seq AS BIGINT) AS seq FROM op"""
+ORACLES["stored_tables"] = ORACLES["wait_taxonomy_by_trace"]
+ORACLES["curated_files"] = """
+    SELECT trace_id, n + 1 + (SELECT count(*) FROM op JOIN cut_cb c ON c.k = op.k WHERE c.trace_id = w.trace_id)
+             + (SELECT count(*) FROM cut_wait x WHERE x.trace_id = w.trace_id) AS rows,
+           n AS command_buffers, 'summary' AS last_record FROM cut_window w"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in ORACLES.items()}

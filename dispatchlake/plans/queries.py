@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from dispatchlake.functions import names
 from dispatchlake.operators import bins as bins_
 from dispatchlake.operators import census, documents, intervals, marks, placement, ranges, summary
 from dispatchlake.operators.audit import validate
-from dispatchlake.operators.curate import Curated, curate
+from dispatchlake.operators.curate import Curated, curate, write_curated
 from dispatchlake.operators.evidence import badges, grade, select_summary
 from dispatchlake.operators.exposure import TRACE, exposure, exposure_fragments, gpu_intervals, has_encode
 from dispatchlake.operators.launches import LAUNCH
@@ -19,9 +20,10 @@ from dispatchlake.operators.normalize import Records, normalize, summary_buckets
 from dispatchlake.operators.ordered import with_rank
 from dispatchlake.operators.verify import verify_curated
 from dispatchlake.plans.analysis import Analysis
-from dispatchlake.session import settle
+from dispatchlake.session import checkpoint_dir, settle
 from dispatchlake.sources.captures import closed_lines, mixed_lines
-from dispatchlake.sources.lines import parse_diagnostics, parse_lenient, trace_id
+from dispatchlake.sources.lines import parse_diagnostics, parse_lenient, scan_lines, trace_id
+from dispatchlake.sources.store import write_tables
 from dispatchlake.sources.tables import read_table, trace_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +285,24 @@ def time_marks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ordered_marks(spark: SparkSession, folder: str) -> DataFrame:
+    a = analysis(spark, folder)
+    found = marks.ordered_marks(a.dispatches, a.anchored_waits)
+    return found.select("trace_id", F.col("place").cast("bigint").alias("place"), "kind", F.round("at_ns", 3).alias("at_ns"))
+
+
+def dispatch_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    found = placement.dispatch_order(trace_tables(spark, folder).ops)
+    return whole(found.select("trace_id", "place", "seq"))
+
+
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The wait taxonomy written as a stored table and read back."""
+    out = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    write_tables({"waits": analysis(spark, folder).wait_taxonomy(TRACE)}, out, {"waits": ["trace_id", "bucket"]})
+    return whole(spark.read.parquet(f"{out}/waits"))
+
+
 def even_samples(spark: SparkSession, folder: str) -> DataFrame:
     found = marks.even_sample(trace_tables(spark, folder).cbs, TRACE, ["line_no"], 100)
     return whole(found.select("trace_id", "line_no", "displayed", "total"))
@@ -417,6 +437,19 @@ def curated_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def curated_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Curated windows written as files, scanned again: the summary is the last line of each."""
+    out = f"{checkpoint_dir(spark)}/curated-{uuid.uuid4().hex}"
+    write_curated(_curated(spark, folder), out)
+    lines = scan_lines(spark, out, parts=True)
+    member = lambda name: F.get_json_object("value", f"$.{name}")
+    return lines.groupBy(F.regexp_extract("relative_path", "trace_id=(.*)$", 1).alias("trace_id")).agg(
+        F.max("line_no").alias("rows"),
+        F.count(F.when(member("record") == "cb", 1)).alias("command_buffers"),
+        F.max_by(member("record"), "line_no").alias("last_record"),
+    )
+
+
 def curated_verification(spark: SparkSession, folder: str) -> DataFrame:
     rows = _curated(spark, folder).rows
     numbered = with_rank(rows, TRACE, ["line_no"]).select("trace_id", (F.col("_rank") + 1).alias("line_no"), "value")
@@ -492,7 +525,7 @@ QUERIES: dict[str, Query] = {
         kernel_census_by_trace, kernel_census_by_launch, kernel_rows, kernel_ranking,
         wait_taxonomy_by_trace, wait_taxonomy_by_launch, wait_report, headline_waits,
         wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
-        launch_omissions, launch_availability, time_marks, even_samples, sorted_report,
+        launch_omissions, launch_availability, time_marks, ordered_marks, dispatch_ranks, stored_tables, curated_files, even_samples, sorted_report,
         range_requests, range_selections, range_summaries, range_kernels, range_waits,
         focus_windows, viewport_command_buffers, line_report, malformed_lines, normalized_command_buffers,
         normalized_operations, normalized_waits, reported_buckets, evidence_grades, strict_violations,
