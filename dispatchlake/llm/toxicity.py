@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,6 +39,7 @@ class Model:
     """
 
     weights: dict[str, float] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
     drift: float = 0.1
     rate: float = 1.0
     log_k: float = 0.0
@@ -62,6 +64,15 @@ class Model:
 class Scorer(dict):
     """Scores of words under a model, remembered within a bound."""
 
+    #: The one of the last model in this Python worker; a task's own would outlive it.
+    last: Scorer | None = None
+
+    @classmethod
+    def of(cls, model: Model) -> Scorer:
+        if cls.last is None or cls.last.model.name != model.name:
+            cls.last = Scorer(model)
+        return cls.last
+
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
@@ -173,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model.weights = {r.feature: r.odds for r in certain.orderBy(F.desc("z"), "feature").limit(most_features).collect()}
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, clean = Scorer(model), Counter()
+        scorer, clean = Scorer.of(model), Counter()
         toxics, words, totals = batch.column("toxic").to_pylist(), [], []
         for toxic, text in zip(toxics, batch.column("text").to_pylist()):
             scores = [scorer[word] for word in WORD.findall(text)]
@@ -211,12 +222,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("by_chance", pa.float64())])
-    memory: list[Scorer] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not memory:
-            memory.append(Scorer(model))
-        scorer = memory[0]
+        scorer = Scorer.of(model)
         results, words, passages = [], [], []
         for text in batch.column("text").to_pylist():
             tokens = WORD.findall(text)
