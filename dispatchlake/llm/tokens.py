@@ -19,6 +19,11 @@ REMEMBERED = 500_000
 TOGETHER = 50
 
 _TOUCHING = re.compile(r"\s | \s")
+_RUN = re.compile(r"\s\s")
+#: A full stop or comma that no letter or digit precedes.
+_APART = re.compile(r"(?<![^\W_])[.,][ \n]")
+#: Marks a cut while a text with significant spaces is split.
+_CUT = "\0"
 #: A full stop or comma after another sign, or after the letter whose small form ends in one: both may be one token.
 _SIGNS = re.compile(r"(?<![^\W_İ])(?<! )[.,] ")
 
@@ -27,9 +32,10 @@ class WordIds:
     """Ids of a text as bytes, little-endian 32-bit, equal to those of the tokenizer over the whole text.
 
     ``spaced``: the tokenizer keeps white space, and a space begins the word that
-    follows. A text is then cut before each space, unless a space touches other
-    white space, where the tokenizer gets the whole text. Else white space is
-    dropped between words, and the text is cut there. No token crosses a cut.
+    follows. A text is then cut before each space and around a line end alone; where
+    a space touches other white space, the tokenizer gets the whole text. Else the
+    tokenizer drops case and white space, and the text is cut there. Both kinds part
+    letters from signs, so there are cuts too. No token crosses a cut.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -46,7 +52,7 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Those of letters only are one text, in which their ids can be told apart by the mark of a word."""
-        plain = [w for w in words if (w[1:] if self.spaced and w[0] == " " else w).isalpha() and (not self.spaced or w[0] == " ")]
+        plain = [w for w in words if (w[1:] if self.spaced else w).isalpha() and (not self.spaced or w[0] == " ")]
         other = set(words).difference(plain)
         for first in range(0, len(plain), TOGETHER):
             group = plain[first : first + TOGETHER]
@@ -60,19 +66,24 @@ class WordIds:
         rest = list(other)
         self.known.update(zip(rest, self._encode(rest)))
 
-    def _words(self, text: str) -> list[str]:
+    def _words(self, text: str, run: bool) -> list[str]:
         if self.spaced:
-            first, *rest = text.split(" ")
-            return [first, *(" " + word for word in rest)]
+            if not _APART.search(text):
+                for sign in (". ", ", ", ".\n", ",\n"):
+                    text = text.replace(sign, _CUT + sign)
+            if not run:
+                text = text.replace("\n", f"{_CUT}\n{_CUT}")
+            return text.replace(" ", f"{_CUT} ").split(_CUT)
         text = text.encode().lower().decode().replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if not _SIGNS.search(text):
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
     def ids(self, text: str) -> bytes:
-        if self.spaced and _TOUCHING.search(text):
+        run = self.spaced and bool(_RUN.search(text))
+        if self.spaced and (run and _TOUCHING.search(text) or _CUT in text):
             return self._encode([text])[0]
-        words = self._words(text)
+        words = self._words(text, run)
         new = set(words).difference(self.known)
         if new:
             if len(self.known) > REMEMBERED:
