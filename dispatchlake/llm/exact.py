@@ -94,8 +94,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after deleting white space. The row with the
     most code points in the original text stays, then the smallest id. Texts are
     read once and never shuffled: what moves is 16 bytes for each chunk of about
-    a kilobyte. Groups are summed in every task first, and a group that holds a
-    third of all rows is a skewed join at most, which Spark splits.
+    a kilobyte. Groups are summed in every task first, and written, so that the
+    rows of a group that holds a third of all are a skewed join that Spark splits.
 
     Defined results: a null text is empty, and empty texts are one group; a null
     id comes after all others; of repeated rows, which share an id, one has
@@ -103,13 +103,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     made = verified(staged(recipes(docs, id_col, text_col)))
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("best")
-    groups = made.groupBy("identity").agg(F.count("*").alias("group_size"), best)
-    return made.join(groups, "identity").select(
+    groups = made.groupBy("identity").agg(F.count("*").alias("group_size"), best).where("group_size > 1")
+    return made.join(staged(groups), "identity", "left").select(
         "doc_id",
         "text_key",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
         "text_sha256",
         F.expr(f"length(ids) / {WIDTH}").cast("long").alias("n_chunks"),
     )
