@@ -9,8 +9,12 @@ from dispatchlake.llm.common import staged
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with ``m``, the least of u and its neighbours. Summed before the shuffle; a hub is a skewed join."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Each edge (u, v) with ``m``, the least of u and its neighbours.
+
+    The least are found in every task before a shuffle, and written: the edges of
+    a hub are then a skewed join that Spark splits.
+    """
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")))
     return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 

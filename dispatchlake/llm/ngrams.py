@@ -263,8 +263,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     Defined results: a null or empty text has no n-grams, links with nothing
     and is its own component; a null id takes no part and has a null component;
-    rows that repeat an id are one node; other columns are not read; an empty
-    table gives an empty result.
+    repeated rows are one node, and rows that share an id but not a text are nodes
+    of their own with one name; other columns are not read; an empty table gives
+    an empty result.
     """
     rows = staged(gram_rows(docs, id_col, text_col, width, percent))
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -48,3 +48,15 @@ def test_stages(spark, tmp_path):
     tokenizer.encode_special_tokens = True
     ids = {d: tokenizer.encode(t, add_special_tokens=False).ids + [2] for d, t in now}
     check([tuple(r) for r in docs.collect()], ids, 4096)
+
+
+def test_empty_and_odd_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    empty = docs.limit(0)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0), (2, "", None, None, 0)], docs.schema)
+    odd = odd.withColumn("kept", odd.lang).withColumn("spans", odd.lang).withColumn("_place", odd.lang)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        got = stage(spark, odd, "")
+        assert got.count() == {"quality_rules": 0, "exact_dedup": 1, "near_dedup": 4, "pii": 4, "packing": 4}[name], name
+        assert name == "packing" or got.columns == odd.columns, name
