@@ -170,8 +170,8 @@ def _levels(ranges: DataFrame) -> int:
     return (2 * (most or 0) + 1).bit_length()
 
 
-def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Pair rows of a launch with the ranges that [start, end] touches, ends included.
+def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
+    """Pair rows of a launch with the ranges that [start, end] touches, ends included; without ``end`` a row is a point.
 
     The edges of a launch's ranges are numbered in time order, in one sweep together
     with the starts and ends of the rows. A range then is a run of numbers between its
@@ -183,7 +183,7 @@ def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column)
     spread over its blocks.
     """
     side = _range_side(ranges)
-    keyed = rows.withColumn("_a", start).withColumn("_b", end).filter("_a IS NOT NULL AND _b >= _a AND launch_index IS NOT NULL")
+    keyed = rows.withColumn("_a", start).withColumn("_b", start if end is None else end).filter("_a IS NOT NULL AND _b >= _a AND launch_index IS NOT NULL")
     keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
     keyed = settle(keyed.join(side.select(*LAUNCH).distinct(), LAUNCH, "left_semi"))
     levels = _levels(side)
@@ -193,12 +193,9 @@ def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column)
         return df.select(*LAUNCH, F.col(at).alias("_t"), F.lit(kind).alias("_kind"), ident.alias("_ident"))
 
     row, name = F.col("_row").cast("string"), F.col("range_id").cast("string")
-    swept = (
-        tokens(side, "range_start_ns", 0, name)
-        .unionByName(tokens(keyed, "_a", 1, row))
-        .unionByName(tokens(keyed.filter("_b > _a"), "_b", 2, row))
-        .unionByName(tokens(side, "range_end_ns", 3, name))
-    )
+    swept = tokens(side, "range_start_ns", 0, name).unionByName(tokens(side, "range_end_ns", 3, name)).unionByName(tokens(keyed, "_a", 1, row))
+    if end is not None:
+        swept = swept.unionByName(tokens(keyed.filter("_b > _a"), "_b", 2, row))
     cut = blocks(swept, LAUNCH, ["_t", "_kind", "_ident"])
     is_edge, is_start = F.col("_kind").isin(0, 3).cast("long"), (F.col("_kind") == 0).cast("long")
     carried = cut.with_carry(
@@ -223,26 +220,28 @@ def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column)
     starts = kind(0, F.col("_number").alias("_from"), F.col("_begun").alias("_place"))
     ends = kind(3, (F.col("_number") - 1).alias("_to"))
     placed = side.withColumn("_ident", name).join(starts, [*LAUNCH, "_ident"]).join(ends, [*LAUNCH, "_ident"]).drop("_ident")
-    placed = settle(placed)
     firsts = kind(1, F.col("_number").alias("_at"), F.col("_begun").alias("_after"))
-    lasts = kind(2, F.col("_begun").alias("_upto"))
-    located = settle(keyed.withColumn("_ident", row).join(firsts, [*LAUNCH, "_ident"]).join(lasts, [*LAUNCH, "_ident"], "left").drop("_ident"))
+    located = keyed.withColumn("_ident", row).join(firsts, [*LAUNCH, "_ident"])
+    if end is not None:
+        located = settle(located.join(kind(2, F.col("_begun").alias("_upto")), [*LAUNCH, "_ident"], "left").drop("_ident"))
 
     block = ["_c.level", "_c.block"]
     tail = [c for c in placed.columns if c not in ("_from", "_to", "_place", *LAUNCH)]
     around = located.select(*rows.columns, F.explode(_above(F.col("_at"), levels)).alias("_c")).select(*rows.columns, *block)
     runs = placed.select(*LAUNCH, *tail, F.explode(_cover(F.col("_from"), F.col("_to"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
     by_start = around.join(runs, [*LAUNCH, "level", "block"])
+    kept = [*rows.columns, *tail]
+    if end is None:
+        return by_start.select(*kept)
     inside = located.filter("_upto > _after").select(*rows.columns, F.explode(_cover(F.col("_after") + 1, F.col("_upto"), levels)).alias("_c")).select(*rows.columns, *block)
     begun = placed.select(*LAUNCH, *tail, F.explode(_above(F.col("_place"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
     by_begin = inside.join(begun, [*LAUNCH, "level", "block"])
-    kept = [*rows.columns, *tail]
     return by_start.select(*kept).unionByName(by_begin.select(*kept))
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Records whose ``at_ns`` lies in a range, both ends included."""
-    return match_ranges(points, ranges, F.col("at_ns"), F.col("at_ns"))
+    return match_ranges(points, ranges, F.col("at_ns"))
 
 
 def command_buffers_in_ranges(cbs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -436,5 +435,5 @@ def visible_command_buffers(cbs: DataFrame, waits: DataFrame, ranges: DataFrame)
     outside = ~F.coalesce(
         (F.greatest(*ends) >= F.col("range_start_ns")) & (F.least(*ends) <= F.col("range_end_ns")), F.lit(False)
     )
-    by_wait = match_ranges(with_wait, ranges, F.col("_wait_at"), F.col("_wait_at")).filter(outside)
+    by_wait = match_ranges(with_wait, ranges, F.col("_wait_at")).filter(outside)
     return by_extent.unionByName(by_wait).drop("_wait_at")
