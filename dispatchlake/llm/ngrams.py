@@ -239,7 +239,7 @@ def block_labels(ids: np.ndarray, grams: list[np.ndarray], percent: int) -> np.n
 
 
 def _join_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """``node`` and ``label`` of the sets of every block; rows of a block are together and sorted."""
+    """``node`` and ``label`` of the sets of every block. ``sets`` must be a written table (see ``link``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, "block"):
@@ -281,9 +281,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         grams = [gram_set(text, width) for text in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["node", "n", "grams"])
 
-    sets = staged(map_slices(texts, "node long, n long, grams binary", make).where("n > 0").join(candidates, "node"))
-    needed = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_grams)).alias("parts")
-    sized = sets.join(sets.groupBy("label").agg(needed), "label")
+    members = filled.join(candidates, F.col("doc_id") == F.col("node")).select("label", "n_shingles")
+    needed = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_shingles") / block_grams)).alias("parts")
+    placed = candidates.join(members.groupBy("label").agg(needed), "label")
+    # Written before the rows of a block are put together: right on top of a join by the
+    # same key Spark leaves out the repartition, and may split that join.
+    sized = staged(map_slices(texts, "node long, n long, grams binary", make).where("n > 0").join(placed, "node"))
     small = _join_blocks(sized.where("parts = 1").withColumn("block", F.col("label")), percent)
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.expr("filter(sequence(0L, parts - 1), x -> x <> own)"))

@@ -104,6 +104,18 @@ def test_ngram_join(spark):
             got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.link(docs, **blocks).collect()}
             assert got == want
     assert ngrams.link(docs.where("false")).count() == 0
+    # Joins that Spark splits must not tear a block.
+    split = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(w if (k + i) % 97 else f"u{i}" for k, w in enumerate(words))) for i in range(120)] + [(500 + i, " ".join(f"x{i}y{k}" for k in range(400))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for key, value in split.items():
+        spark.conf.set(key, value)
+    try:
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.link(docs).collect()} == brute_components(rows)
+    finally:
+        for key in split:
+            spark.conf.unset(key)
     odd = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "x y z"), (3, "x y z")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in ngrams.link(odd).where("doc_id IS NOT NULL").collect()) == [(2, 2), (3, 2), (3, 3), (3, 3)]
     assert ngrams.link(odd).where("doc_id IS NULL").first().component_id is None
