@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -73,30 +72,34 @@ def size_classes(size: int, percent: int) -> list[tuple[int, int]]:
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of which two linked sets share at least one.
+    """Hashes of which two linked sets share at least one; their number is linear in the set for every ``percent``.
 
     Sets of a class with sizes to m that link differ in at most
     d = 2m(100 - p) / (100 + p) n-grams. Over d + 1 + e ranges of the hash
     values at least 1 + e hold the same n-grams in both. A range with less than
-    two n-grams is weak: it says little. Where a set has at most e weak ranges, a
-    common one is among the others; else all common ones may be weak, in both
-    sets, and any 1 + e weak ranges are a signature together.
+    two n-grams is weak: it says little. Where ranges hold few n-grams at best,
+    only empty ones are weak, and e is larger. Where a set has at most e weak
+    ranges, a common one is among the others; else all common ones may be weak,
+    in both sets, and both add the first size - ceil(size * p / 100) + 1 n-grams
+    by hash: two linked sets always have one of these in common.
     """
     out = []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(grams))])
+    few = 16 * (100 - percent) > 100 + percent  # under eight n-grams a range
+    short = False
     for name, top in size_classes(len(grams), percent):
         d = 2 * top * (100 - percent) // (100 + percent)
-        spare = 0 if d == 0 else 1 + d // 16
+        spare = 0 if d == 0 else 1 + d // (4 if few else 16)
         parts = d + 1 + spare
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
         number = np.arange(parts, dtype=np.uint64) + np.uint64(name << 32)
         values = _mix(_mix(sums[at[1:]] - sums[at[:-1]]) + number * _A)
-        weak = np.diff(at) < 2 if spare else np.zeros(parts, bool)
+        weak = np.diff(at) < (1 if few else 2) if spare else np.zeros(parts, bool)
         out.append(values[~weak])
-        if weak.sum() > spare:
-            chosen = values[weak]
-            out.append(_mix(np.array([chosen[list(c)].sum() for c in combinations(range(len(chosen)), 1 + spare)], np.uint64)))
+        short |= weak.sum() > spare
+    if short:
+        out.append(_mix(grams[: len(grams) + 1 - -(-len(grams) * percent // 100)] ^ _C))
     return np.concatenate(out)
 
 

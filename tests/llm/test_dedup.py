@@ -135,6 +135,57 @@ def test_signatures_never_miss_a_link():
             assert set(ngrams.signatures(one, 90).tolist()) & set(ngrams.signatures(other, 90).tolist())
 
 
+def test_signatures_stay_linear_and_never_miss_at_any_percent():
+    rng = np.random.default_rng(6)
+    for percent in (80, 90, 50, 88, 95):
+        for n in (1, 2, 3, 5, 8, 13, 30, 48, 100, 200, 400, 800, 3000, 20_000):
+            for _ in range(20 if n < 1000 else 3):
+                one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+                most = 2 * n * (100 - percent) // (100 + percent)
+                lost = int(rng.integers(0, most + 1))
+                other = np.unique(np.concatenate([rng.permutation(one)[lost:], rng.integers(0, 2**63, int(rng.integers(0, most - lost + 1))).astype(np.uint64) * np.uint64(2)]))
+                mine, its = ngrams.signatures(one, percent), ngrams.signatures(other, percent) if len(other) else one[:0]
+                assert len(mine) <= 8 * n + 8
+                both = len(np.intersect1d(one, other))
+                if both and 100 * both >= percent * (len(one) + len(other) - both):
+                    assert set(mine.tolist()) & set(its.tolist()), (percent, n)
+
+
+def test_crowded_ranges_fall_back_to_first_grams():
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        one = np.unique(rng.integers(0, 2**57, 400).astype(np.uint64))  # all in the lowest ranges
+        other = np.concatenate([one[:-20], one[-20:] + np.uint64(1)])
+        mine, its = ngrams.signatures(one, percent), ngrams.signatures(other, percent)
+        assert set(mine.tolist()) & set(its.tolist()) and len(mine) < 400
+
+
+def test_join_at_five_words_and_four_fifths(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (50, 100, 100, 400, 900, 3000, 20_000):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for k in range(4):
+            mine = list(base)
+            for i in rng.sample(range(n), n * k * 2 // 300):
+                mine[i] = "other"
+            rows.append((len(rows), " ".join(mine)))
+    words = [f"v{i}" for i in range(100)]
+    rows += [(900, " ".join(words)), (901, " ".join("x" if i in (30, 70) else w for i, w in enumerate(words)))]
+    split = {d: t.split() for d, t in rows}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in split.items()}
+    links = [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label, seen = {d: d for d in sets}, None
+    while label != seen:
+        seen = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert label[901] == 900 and len(set(label.values())) < len(rows) - 7
+    for blocks in ({}, {"block_sets": 3}):
+        assert {r.doc_id: r.component_id for r in ngrams.link(docs, width=5, percent=80, **blocks).collect()} == label
+
+
 def test_large_blocks():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**62, 200).astype(np.uint64))
