@@ -21,6 +21,8 @@ KINDS = ["email", "ip", "card", "phone"]
 
 #: Words with an @ or at least six digits may be identifiers that no base rule knows.
 LOOSE = r"(?<![^\s])(?=(?:[^\s0-9]*+[0-9]){6}|[^\s@]*+@)[^\s]++"
+#: So may runs of seven digits and more with the separators of the base kinds, and groups of hex digits with colons, whatever words they span.
+RUN = r"(?<![0-9A-Za-z:])[0-9A-Fa-f]++(?:::?[0-9A-Fa-f]++)++(?![0-9A-Za-z])|(?:\+|\((?=[0-9]++\)))?+(?<![0-9])(?=[0-9](?:SEP?[0-9]){6})[0-9](?:SEP?[0-9])*+".replace("SEP", r"(?: ?\(|\) ?[.-]?| ?- ?|[ .])")
 #: Code points on either side in which context words are looked for.
 REACH = 64
 
@@ -70,7 +72,7 @@ def base_spans(text: Column) -> Column:
 
 
 def loose_spans(text: Column) -> Column:
-    """Words that may be identifiers, without punctuation at their ends."""
+    """Words that may be identifiers, without punctuation at their ends, and runs of digits over several words."""
     none = F.array().cast(SPAN)
     words = F.when(text.rlike("@|[0-9]"), _spans(text, LOOSE, None, lambda value: F.lit(True))).otherwise(none)
 
@@ -80,7 +82,14 @@ def loose_spans(text: Column) -> Column:
         end = span["start"] + F.length(value)
         return F.struct((end - F.length(inner)).alias("start"), end.alias("end"), span["kind"].alias("kind"), inner.alias("value"), span["before"].alias("before"), span["after"].alias("after"))
 
-    return F.transform(words, core).cast(SPAN)
+    runs = F.when(text.rlike(RUN), _spans(text, RUN, None, lambda value: F.exists(F.array(*map(F.lit, KINDS)), lambda kind: _plausible(kind, value)))).otherwise(none)
+    return F.concat(F.transform(words, core).cast(SPAN), runs)
+
+
+def _weight(value: Column, before: Column, after: Column) -> Column:
+    """One half for a word among other groups of digits and for a run with such words: they are one place, so they count as one."""
+    inner = before.rlike(r"[0-9][ ().-]{1,3}$") | after.rlike(r"^[ ().-]{1,3}[0-9]")
+    return F.when(inner | value.rlike(r"[ ()].*[0-9](?:[^\s0-9]?[0-9]){5}|[0-9](?:[^\s0-9]?[0-9]){5}.*[ ()]"), F.lit(0.5)).otherwise(F.lit(1.0))
 
 
 def _contexts(before: Column, after: Column) -> Column:
@@ -111,6 +120,7 @@ def bootstrap(places: DataFrame, rounds: int, confident: float, support: int) ->
     """``value`` and ``kind`` of identifiers that only their contexts give away.
 
     ``places``: ``value``, ``kind`` (null where unknown), ``before``, ``after``.
+    A word and the run it is in are values of their own of half the weight.
     Patterns and values are a graph. In each round a pattern scores, for a kind,
     the summed scores of its values over their number plus one; patterns of at
     least ``support`` values and a score of ``confident`` count. A value unseen
@@ -120,16 +130,17 @@ def bootstrap(places: DataFrame, rounds: int, confident: float, support: int) ->
     Edges are made distinct and sums taken in every task before a shuffle, so a
     word that stands before a third of all identifiers is one row per task.
     """
-    edges = places.select("value", "kind", F.explode(F.array_distinct(_contexts(F.col("before"), F.col("after")))).alias("pattern"))
-    edges = staged(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    sizes = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    weight = F.when(F.col("kind").isNull(), _weight(F.col("value"), F.col("before"), F.col("after"))).otherwise(F.lit(1.0))
+    edges = places.select("value", "kind", weight.alias("weight"), F.explode(F.array_distinct(_contexts(F.col("before"), F.col("after")))).alias("pattern"))
+    edges = staged(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("weight").alias("weight")))
+    sizes = staged(edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("weight").alias("n")).where(F.col("values") >= support))
     seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum(F.lit(1.0)).alias("mass"))
-    open_edges = edges.where("kind IS NULL").select("pattern", "value")
+    open_edges = edges.where("kind IS NULL").select("pattern", "value", "weight")
     found = None
     for _ in range(rounds):
         mass = seeds
         if found is not None:
-            learned = open_edges.join(found, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+            learned = open_edges.join(found, "value").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("weight")).alias("mass"))
             mass = seeds.unionByName(learned).groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"))
         scored = mass.join(sizes, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("pattern_score")).where(F.col("pattern_score") >= confident)
         hits = open_edges.join(scored, "pattern").where(_plausible(F.col("kind"), F.col("value")))
@@ -143,7 +154,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """Per document ``doc_id``, ``text_key``, and the spans ``base`` and ``spans``: base rules, and these with what contexts add.
 
     Spans are structs (start, ``place`` of the kind in ``KINDS``, end, kind,
-    value), by start and kind. Added ones overlap no base span.
+    value), by start and kind. Added ones overlap no base span and lie in no other added one.
 
     Defined results: a null or empty text has no spans; repeated rows have a row
     each; a null id is a row like others; other columns are not read; an empty
@@ -159,6 +170,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     learned = bootstrap(places, rounds, confident, support)
     extra = places.where("kind IS NULL").drop("kind").join(learned, "value")
     extra = extra.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "kind", "value")).alias("extra"))
+    outer = F.filter("extra", lambda x: ~F.exists("extra", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    extra = extra.withColumn("extra", outer)
     extra = extra.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
 
     def ordered(spans: Column) -> Column:

@@ -86,6 +86,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[12] == ""
 
 
+def test_contexts_find_identifiers_of_several_words(spark):
+    rows = [(i, f"please call phone +1 (202) 555-01{i:02d} today or never") for i in range(20)]
+    cards = [n for n in range(4111111111110000, 4111111111110200) if luhn(str(n))]
+    rows += [(20 + i, f"my visa card {' '.join(str(n)[k : k + 4] for k in (0, 4, 8, 12))} expired soon") for i, n in enumerate(cards[:20])]
+    rows += [(40 + i, f"the server address 10.0.0.{i} answered again") for i in range(6)]
+    shapes = {60: "020 7946 0958", 61: "555 123 4567", 62: "(017) 555-7713"}
+    rows += [(d, f"please call phone {v} today or never") for d, v in shapes.items()]
+    cards = {70: "4999 1111 1111 1112", 71: "4111 1111 1111"}
+    rows += [(d, f"my visa card {v} expired soon") for d, v in cards.items()]
+    rows += [(80, "the server address fe80::ab:cd answered again"), (90, "in rows 555 765 4321 of it"), (91, "please call phone 202.555.0199. 3 of us today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    assert {d: got[d] for d in shapes} == {d: f"phone:18:{18 + len(v)}" for d, v in shapes.items()}
+    assert {d: got[d] for d in cards} == {d: f"card:13:{13 + len(v)}" for d, v in cards.items()}
+    assert got[80] == "ip:19:30" and got[90] == "" and got[91] == "phone:18:30"
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[62] == "please call phone [PHONE] today or never"
+
+
 def test_mask(spark):
     rows = [(1, "mail a@b.co or +1 202 555 0100!", 5), (2, None, 0), (3, "clean", 5), (None, "10.0.0.1", 8)]
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
