@@ -71,8 +71,85 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e
 SELECT r.a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w, least(len(w), 10) AS n FROM benchmark WHERE len(w) > 0),
+item AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+win AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i))),
+hit AS (SELECT win.* FROM win SEMI JOIN item ON win.n = item.n AND win.g = item.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM (SELECT DISTINCT doc_id, n, g FROM hit) JOIN item USING (n, g) WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: The checksum of a decimal number: eight steps for each byte, by a table made of the same eight steps.
+_CRC_TABLE = "list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
+
+OP12 = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claimed
+  FROM documents, crc
+),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+nodes(lvl, tree, place, total, node) AS (
+  SELECT 0, tree, place, total, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, tree, place // 3, (total + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM nodes WHERE total > 1 GROUP BY lvl, tree, place // 3, total
+),
+subroots AS MATERIALIZED (SELECT tree, lvl AS height, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total FROM nodes WHERE total = 1),
+tops(lvl, place, total, node) AS (
+  SELECT 0, place, total, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, place // 3, (total + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM tops WHERE total > 1 GROUP BY lvl, place // 3, total
+),
+own AS (
+  SELECT a.lvl, a.tree, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS r
+  FROM nodes a JOIN nodes b ON a.lvl = b.lvl AND a.tree = b.tree AND a.place // 3 = b.place // 3 WHERE a.total > 1 GROUP BY a.lvl, a.tree, a.place
+),
+over AS (
+  SELECT a.lvl, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS r
+  FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.place // 3 = b.place // 3 WHERE a.total > 1 GROUP BY a.lvl, a.place
+),
+steps AS MATERIALIZED (
+  SELECT p.tree, p.place, o.lvl, o.l, o.r FROM placed p JOIN own o ON o.tree = p.tree AND o.place = p.place // (3 ** o.lvl)::BIGINT
+  UNION ALL
+  SELECT p.tree, p.place, s.height + o.lvl, o.l, o.r FROM placed p JOIN subroots s ON s.tree = p.tree JOIN over o ON o.place = s.place // (3 ** o.lvl)::BIGINT
+),
+fold(tree, place, lvl, node) AS (
+  SELECT tree, place, 0, claimed FROM placed
+  UNION ALL
+  SELECT f.tree, f.place, f.lvl + 1, sha256(s.l || f.node || s.r) FROM fold f JOIN steps s ON s.tree = f.tree AND s.place = f.place AND s.lvl = f.lvl
+),
+proofs AS (SELECT tree, place, string_agg(l || r, '' ORDER BY lvl) AS proof FROM steps GROUP BY tree, place),
+root AS (SELECT node AS root FROM tops WHERE total = 1),
+folded AS (SELECT tree, place, arg_max(node, lvl) AS folded_root FROM fold GROUP BY tree, place)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN folded f ON f.tree = p.tree AND f.place = p.place LEFT JOIN proofs q ON q.tree = p.tree AND q.place = p.place, root
+"""
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": OP4,
     "op6_ngram_jaccard_join": OP6,
     "op10_exact_dedup": OP10,
+    "op11_decontamination": OP11,
+    "op12_merkle_manifest": OP12,
 }

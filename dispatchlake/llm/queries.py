@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import exact, lines, matrices, ngrams, packing, pieces, pii, quality, toxicity, warc
+from dispatchlake.llm import exact, lines, matrices, merkle, ngrams, packing, periods, pieces, pii, quality, toxicity, warc, winnow
 from dispatchlake.llm.common import documents, tokenizer_path
 
 
@@ -72,6 +73,50 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(documents(spark, folder)).drop("text_key", "n_chunks")
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window of ten words, and the items they come from."""
+    found = winnow.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; every second one, by checksum, is shown without its line ends."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claims = {"text": F.when(altered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return merkle.manifest(documents(spark, folder), claims=claims, proofs=False).drop("source")
+
+
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by checksum, with the rest after some word repeating a stretch."""
+    if doc_id is None or not words:
+        return words
+    spread, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if tenth:
+        return words
+    n = len(words)
+    start = spread % n
+    period = 1 + (n - start) // (3 + spread % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, after a period was laid over every tenth."""
+    found = periods.find(documents(spark, folder), edit=with_period)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,4 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_decontamination": op11_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
