@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -17,6 +19,8 @@ from dispatchlake.llm.common import map_slices, whole
 SPACE = "▁"
 #: Segments and token pairs remembered in one Python worker.
 REMEMBERED = 300_000
+#: Segments of more characters are not remembered.
+LONGEST = 100
 
 
 def _one_mark_each(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -27,16 +31,21 @@ codecs.register_error("one_mark_each", _one_mark_each)
 
 
 class _Memory(dict):
-    """Remembers ``make(key)``; forgets all when full."""
+    """Remembers ``make(key)``. Of what was not asked for since it was half full the rest goes when it is full."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.older = {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -67,68 +76,136 @@ class PieceCoder:
                 value = piece.replace(SPACE, " ").encode()
             self.text.append(value)
         self.leading = {i for piece, i in self.id.items() if piece.startswith(SPACE)}
+        # A match leads to the shorter ones that end where it does.
         self.pieces = ahocorasick.Automaton()
-        for piece in self.id:
-            self.pieces.add_word(piece, piece)
+        suffixes: dict[str, tuple[str, ...]] = {"": ()}
+        for piece in sorted(self.id, key=len):
+            shorter = next((piece[i:] for i in range(1, len(piece)) if piece[i:] in self.id), "")
+            suffixes[piece] = piece, *suffixes[shorter]
+            self.pieces.add_word(piece, suffixes[piece])
         self.pieces.make_automaton()
         # No piece holds a space after another character. Where a character that
         # no piece has stands, nothing can join either. Segments lie between.
         known = set("".join(self.id))
         self.breaks = "\n" not in known and not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-        self.known = _Memory(lambda segment: np.array(self.piece_ids(self.tokens(segment)), "<i4").tobytes())
-        self.compatible = _Memory(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
-        self.whole = _Memory(lambda piece: self.merged(piece) == [piece])
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging: the pair of the best score first, the leftmost of equals."""
-        parts = list(text)
+        # Where pieces of spaces all have the least score, spaces are merged after everything else.
+        least = min(self.score.values(), default=0.0)
+        self.spaces_last = self.breaks and all((set(p) == {SPACE}) == (s == least) for p, s in self.score.items()) and not any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.id)
+        order = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: order[s] for p, s in self.score.items() if len(p) > 1}
+        self.known = _Memory(self.segment_ids)
+        self.halves = _Memory(lambda piece: self.merged(piece)[1])
+        self.compatible = _Memory(lambda pair: self.go_together(*pair))
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | tuple[()]]:
+        """Pieces by merging, the pair of the best score first, the leftmost of equals; and, if one piece is left, the two it was made of."""
+        parts: list[str | None] = list(text)
+        ahead, back = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            piece = parts[i] + parts[j]
+            if piece in self.score:
+                heapq.heappush(queue, (-self.score[piece], i, j, piece))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        last: tuple[str, str] | tuple[()] = ()
+        while queue:
+            _, i, j, piece = heapq.heappop(queue)
+            if parts[i] is None or parts[j] is None or ahead[i] != j or parts[i] + parts[j] != piece:
+                continue
+            last = parts[i], parts[j]
+            parts[i], parts[j] = piece, None
+            ahead[i] = ahead[j]
+            if ahead[j] < len(parts):
+                back[ahead[j]] = i
+                offer(i, ahead[j])
+            if back[i] >= 0:
+                offer(back[i], i)
+        left = [p for p in parts if p is not None]
+        return left, last if len(left) == 1 else ()
+
+    def go_together(self, one: str, other: str) -> bool:
+        """Whether merging the joint text of two tokens gives them back; ``other`` may be empty.
+
+        The merges of both are undone, the latest first. A merge over the border
+        must at no time come before the one just undone: on the left side earlier
+        means a better score, on the right side of equal scores the border's too.
+        """
+        rank, halves = self.rank, self.halves
+        if len(one) > 1 and not halves[one]:
+            return False
+        if not other:
+            return True
+        limit = len(self.score)
         while True:
-            pairs = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score]
-            if not pairs:
-                return parts
-            i = min(pairs)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            over = rank.get(one + other, limit)
+            if over < limit:
+                return False
+            left, right = rank.get(one, -1), rank.get(other, -1)
+            if left > right:
+                limit, one = left, halves[one][1]
+            elif right >= 0:
+                limit, other = right + 1, halves[other][0]
+            else:
+                return True
+
+    def spaces(self, n: int) -> list[str]:
+        """Pieces of n spaces, whose scores are equal: from the left, each joins what is before it where it can."""
+        made: list[str] = []
+        for _ in range(n):
+            made.append(SPACE)
+            while len(made) > 1 and made[-2] + made[-1] in self.id:
+                made[-2:] = [made[-2] + made[-1]]
+        return made
 
     def tokens(self, segment: str) -> list[str]:
-        """Pieces by backtracking: at each place the longest match that goes with the token before.
+        """Pieces by backtracking: back from the end, the longest match that goes with the token behind it.
 
         Two neighbours go together when merging their joint text gives them
         back; a sequence of such neighbours is what merging gives for the whole.
-        There is one such sequence up to a place, so a place from which no token
-        led on is never entered again. Runs of spaces have pieces of equal
-        scores, for which neighbours don't decide; they are merged.
+        There is one such sequence from a place on, so a place to which no token
+        led back is never entered again. Runs of spaces are merged by their own rule.
         """
         if segment.startswith(SPACE * 2):
-            return self.merged(segment)
-        n = len(segment)
-        choices: list[list[str]] = [[] for _ in range(n + 1)]
-        for last, piece in self.pieces.iter(segment):
-            choices[last + 1 - len(piece)].append(piece)
-        for i, character in enumerate(segment):
-            if character not in self.id:
-                choices[i].insert(0, character)
-        failed = bytearray(n // 8 + 1)
-        found: list[str] = []
-        left = [len(choices[0])]
-        at = 0
-        while at < n:
-            k = left[-1]
-            while k:
-                k -= 1
-                token = choices[at][k]
-                after = at + len(token)
-                if not failed[after >> 3] >> (after & 7) & 1 and (len(token) == 1 or self.whole[token]) and (not found or self.compatible[found[-1], token]):
-                    left[-1] = k
+            if not self.spaces_last:
+                return self.merged(segment)[0]
+            alone = len(segment) - len(segment.lstrip(SPACE)) - 1
+            rest = self.tokens(segment[alone:])
+            return self.spaces(alone + 1) + rest[1:] if rest[0] == SPACE else self.spaces(alone) + rest
+        at = len(segment)
+        # Of the matches with one end the longest comes first.
+        longest: dict[int, tuple[str, ...]] = {}
+        if at <= LONGEST:
+            longest = dict(reversed(list(self.pieces.iter(segment))))
+        else:
+            for last, match in self.pieces.iter(segment):
+                longest.setdefault(last, match)
+        failed = bytearray(at // 8 + 1)
+        found = [""]
+        open_choices = [iter(longest.get(at - 1) or (segment[at - 1 : at],))]
+        compatible = self.compatible
+        while at:
+            behind = found[-1]
+            for token in open_choices[-1]:
+                start = at - len(token)
+                if not failed[start >> 3] >> (start & 7) & 1 and compatible[token, behind]:
                     found.append(token)
-                    left.append(len(choices[after]))
-                    at = after
+                    at = start
+                    open_choices.append(iter(longest.get(at - 1) or (segment[at - 1 : at],)))
                     break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                left.pop()
-                at -= len(found.pop())
-        return found
+                open_choices.pop()
+                at += len(found.pop())
+        return found[:0:-1]
+
+    def segment_ids(self, segment: str) -> bytes:
+        """Ids of the pieces of a segment, as little-endian 32-bit numbers."""
+        ids = self.piece_ids(self.tokens(segment))
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def piece_ids(self, tokens: list[str]) -> list[int]:
         """Ids of pieces; a character that is none becomes its bytes."""
@@ -141,7 +218,7 @@ class PieceCoder:
             return end
         spaced = SPACE + text.replace(" ", SPACE)
         segments = self.segments.findall(spaced) if self.breaks else [spaced]
-        return b"".join(map(self.known.__getitem__, segments)) + end
+        return b"".join([self.known[s] if len(s) <= LONGEST else self.segment_ids(s) for s in segments]) + end
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. The space before the text is dropped; each broken byte becomes a replacement mark."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -27,6 +29,46 @@ def test_random_texts():
         assert coder.decode(want) == library.decode(want), repr(text)
 
 
+def test_texts_of_any_length():
+    rng = random.Random(6)
+    coder = pieces.coder(MODEL)
+    n = 200_000
+    for text in ("a" + " " * n + "b", " " * n, "x" * n, "\n" * n, "".join(rng.choice("abcdeth") for _ in range(n)), "  a" * (n // 3), "中" * n, "the " * n):
+        start = time.time()
+        got = np.frombuffer(coder.encode(text), "<i4").tolist()
+        assert time.time() - start < 10
+        assert got == library.encode(text, add_eos=True)
+    for k in range(1, 80):
+        for rest in ("", "the", "中", "\x00", "\nb", "- x"):
+            text = " " * k + rest + " " * (k % 7) + "end"
+            assert np.frombuffer(coder.encode(text), "<i4").tolist() == library.encode(text, add_eos=True), repr(text)
+
+
+def test_tokens_that_go_together():
+    rng = random.Random(5)
+    coder = pieces.coder(MODEL)
+    names, seen = list(coder.id), [0, 0]
+    for _ in range(20_000):
+        one, other = rng.choice(names), rng.choice(names)
+        if rng.random() < 0.7 and len(one) > 1:
+            cut = rng.randrange(1, len(one))
+            one, other = one[:cut], one[cut:]
+        if one in coder.id and other in coder.id and pieces.SPACE not in other and (len(other) == 1 or coder.halves[other]):
+            want = coder.merged(one + other)[0] == [one, other]
+            assert coder.go_together(one, other) == want, (one, other)
+            seen[want] += 1
+    assert min(seen) > 1000
+
+
+def test_memory_of_two_halves(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 8)
+    made = []
+    memory = pieces._Memory(lambda key: made.append(key) or key * 2)
+    for key in [1, 2, 3, 4, 5, 1, 6, 1, 7, 8, 1]:
+        assert memory[key] == key * 2
+    assert made.count(1) == 1 and len(memory) + len(memory.older) <= 8
+
+
 def test_decode_of_any_ids():
     rng = random.Random(4)
     coder = pieces.coder(MODEL)
