@@ -51,8 +51,11 @@ def kernel_census(
         .groupBy(*keys, "kernel")
         .agg(F.count(F.lit(1)).alias("count"), *[_total(c, f"kernel {c}") for c in KERNEL_SUMS])
     )
-    if by == "name":
-        return raw
+    return raw if by == "name" else families(raw, keys)
+
+
+def families(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts by raw kernel name folded into families, with the names of each."""
     return (
         raw.withColumn("family", kernel_family(F.col("kernel")))
         .groupBy(*keys, "family")
@@ -79,21 +82,23 @@ def census_order(census: DataFrame, keys: Sequence[str]) -> DataFrame:
     return census.orderBy(*keys, F.col("count").desc(), F.collate("kernel", "UNICODE"), "kernel")
 
 
-def _usable_wait() -> Column:
+def usable_wait() -> Column:
     return F.when(is_finite(F.col("wait_ns")) & (F.col("wait_ns") >= 0), F.col("wait_ns")).otherwise(0.0)
 
 
 def wait_taxonomy(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count and duration per bucket, with its classes. Waits without bucket are left out."""
-    return (
+    return taxonomy(
         waits.filter("bucket IS NOT NULL")
         .groupBy(*keys, "bucket", "wait_class", "detail_class", "headline_category")
-        .agg(F.count(F.lit(1)).alias("count"), checked(F.sum(_usable_wait()), "wait duration").alias("wait_ns"))
-        .withColumn("headline_included", F.col("headline_category").isNotNull())
-        .drop("headline_category")
+        .agg(F.count(F.lit(1)).alias("count"), checked(F.sum(usable_wait()), "wait duration").alias("wait_ns"))
     )
 
 
+def taxonomy(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("headline_included", F.col("headline_category").isNotNull()).drop("headline_category")
+
+
 def wait_rows(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Report rows per bucket; waits without one are shown as unclassified."""
     bucket = F.coalesce(stripped(F.col("bucket")), F.lit(UNCLASSIFIED))
@@ -102,7 +107,7 @@ def wait_rows(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, F.col("_bucket").alias("bucket"))
         .agg(
             F.count(F.lit(1)).alias("count"),
-            checked(F.sum(_usable_wait()), "wait duration").alias("wait_ns"),
+            checked(F.sum(usable_wait()), "wait duration").alias("wait_ns"),
             F.coalesce(F.min_by("wait_class", "line_no"), F.lit("other")).alias("wait_class"),
         )
         .withColumn("additive", ~F.col("bucket").isin("sched_backpressure", "sched_worker_wait"))
@@ -111,15 +116,18 @@ def wait_rows(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def wait_totals(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Headline durations per class and their sum; mirrored buckets never count."""
-    sums = [
-        checked(
-            F.sum(F.when(F.col("headline_category") == kind, _usable_wait()).otherwise(0.0)),
-            "wait duration",
-        ).alias(column)
-        for kind, column in HEADLINE.items()
-    ]
     total = sum((F.col(c) for c in HEADLINE.values()), F.lit(0.0))
-    return waits.groupBy(*keys).agg(*sums).withColumn("headline_wait_ns", total)
+    return waits.groupBy(*keys).agg(*wait_sums()).withColumn("headline_wait_ns", total)
+
+
+def wait_sums(among: Column | None = None) -> list[Column]:
+    """The headline durations per class of a group's rows (``among`` which)."""
+
+    def counts(kind: str) -> Column:
+        mine = F.col("headline_category") == kind
+        return mine if among is None else mine & among
+
+    return [checked(F.sum(F.when(counts(kind), usable_wait()).otherwise(0.0)), "wait duration").alias(column) for kind, column in HEADLINE.items()]
 
 
 def bucket_totals(waits: DataFrame, keys: Sequence[str]) -> DataFrame:

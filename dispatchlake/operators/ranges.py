@@ -6,23 +6,20 @@ that any number of ranges over any number of launches is one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.functions.guards import is_finite, is_interval
-from dispatchlake.operators.census import kernel_census, wait_taxonomy, wait_totals
-from dispatchlake.operators.exposure import gpu_intervals, has_encode, has_gpu
-from dispatchlake.operators.intervals import coverage
+from dispatchlake.operators.dyadic import above, cover
+from dispatchlake.operators.exposure import has_encode, has_gpu
 from dispatchlake.operators.launches import LAUNCH
 from dispatchlake.operators.ordered import blocks
+from dispatchlake.operators.range_totals import RANGE, RangeResult, analyze_ranges
 from dispatchlake.operators.skew import salted_join
-from dispatchlake.operators.summary import WAIT_COLUMNS
 from dispatchlake.session import settle
 
-RANGE = [*LAUNCH, "range_id"]
+__all__ = ["RANGE", "RangeResult", "analyze_ranges"]
+
 SAFE_INTEGER = 2.0**53 - 1
 # Why a launch or a request cannot be analysed.
 NO_CB_TIMING = "missing-command-buffer-timing"
@@ -132,36 +129,7 @@ def parse_selections(requests: DataFrame, launches: DataFrame) -> DataFrame:
 
 
 def _range_side(ranges: DataFrame) -> DataFrame:
-    carried = [c for c in ("covered_at_range_start", "covered_at_range_end") if c in ranges.columns]
-    return ranges.select(
-        *RANGE, F.col("start_ns").alias("range_start_ns"), F.col("end_ns").alias("range_end_ns"), *carried
-    )
-
-
-def _power(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-
-
-def _cover(low: Column, high: Column, levels: int) -> Column:
-    """The fewest aligned blocks of 2^k numbers that make up low..high; none when it is empty."""
-
-    def at(k: Column) -> Column:
-        step = _power(k)
-        first = F.floor((low + step - 1) / step)
-        stop = F.floor((high + 1) / step)
-        left = F.when((first < stop) & (first % 2 == 1), F.struct(k.alias("level"), first.cast("bigint").alias("block")))
-        right = F.when((first < stop) & (stop % 2 == 1), F.struct(k.alias("level"), (stop - 1).cast("bigint").alias("block")))
-        return F.array_compact(F.array(left, right))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
-
-
-def _above(number: Column, levels: int) -> Column:
-    """The blocks of all levels that hold a number."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(levels)),
-        lambda k: F.struct(k.alias("level"), F.floor(number / _power(k)).cast("bigint").alias("block")),
-    )
+    return ranges.select(*RANGE, F.col("start_ns").alias("range_start_ns"), F.col("end_ns").alias("range_end_ns"))
 
 
 def _levels(ranges: DataFrame) -> int:
@@ -227,14 +195,14 @@ def match_ranges(rows: DataFrame, ranges: DataFrame, start: Column, end: Column
 
     block = ["_c.level", "_c.block"]
     tail = [c for c in placed.columns if c not in ("_from", "_to", "_place", *LAUNCH)]
-    around = located.select(*rows.columns, F.explode(_above(F.col("_at"), levels)).alias("_c")).select(*rows.columns, *block)
-    runs = placed.select(*LAUNCH, *tail, F.explode(_cover(F.col("_from"), F.col("_to"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
+    around = located.select(*rows.columns, F.explode(above(F.col("_at"), levels)).alias("_c")).select(*rows.columns, *block)
+    runs = placed.select(*LAUNCH, *tail, F.explode(cover(F.col("_from"), F.col("_to"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
     by_start = around.join(runs, [*LAUNCH, "level", "block"])
     kept = [*rows.columns, *tail]
     if end is None:
         return by_start.select(*kept)
-    inside = located.filter("_upto > _after").select(*rows.columns, F.explode(_cover(F.col("_after") + 1, F.col("_upto"), levels)).alias("_c")).select(*rows.columns, *block)
-    begun = placed.select(*LAUNCH, *tail, F.explode(_above(F.col("_place"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
+    inside = located.filter("_upto > _after").select(*rows.columns, F.explode(cover(F.col("_after") + 1, F.col("_upto"), levels)).alias("_c")).select(*rows.columns, *block)
+    begun = placed.select(*LAUNCH, *tail, F.explode(above(F.col("_place"), levels)).alias("_c")).select(*LAUNCH, *tail, *block)
     by_begin = inside.join(begun, [*LAUNCH, "level", "block"])
     return by_start.select(*kept).unionByName(by_begin.select(*kept))
 
@@ -273,109 +241,6 @@ def command_buffers_in_ranges(cbs: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class RangeResult:
-    summary: DataFrame
-    kernels: DataFrame
-    wait_taxonomy: DataFrame
-    command_buffers: DataFrame
-    dispatches: DataFrame
-    waits: DataFrame
-
-
-def _edges(ranges: DataFrame, ident: Sequence[str]) -> DataFrame:
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("start_ns").alias("at_ns")),
-        F.struct(F.lit(1).alias("side"), F.col("end_ns").alias("at_ns")),
-    )
-    return ranges.select(*ident, F.explode(sides).alias("p")).select(*ident, "p.side", "p.at_ns")
-
-
-def _covered_at_edges(intervals: DataFrame, ranges: DataFrame, keys: list[str], names: tuple[str, str]) -> DataFrame:
-    ident = [c for c in RANGE if c not in keys] + ["side"]
-    points = coverage(intervals, _edges(ranges, RANGE), keys, "at_ns", ident).points
-    return points.groupBy(*RANGE).agg(
-        F.max(F.when(F.col("side") == 0, F.col("covered_ns"))).alias(names[0]),
-        F.max(F.when(F.col("side") == 1, F.col("covered_ns"))).alias(names[1]),
-    )
-
-
-def analyze_ranges(
-    cbs: DataFrame, dispatches: DataFrame, waits: DataFrame, ranges: DataFrame, omitted: DataFrame
-) -> RangeResult:
-    """Exact totals inside each range.
-
-    Intervals count with their part inside, points when inside or on an edge. The
-    hidden part of a clipped encode interval is the difference of the trace's
-    GPU-covered length at its ends, known for command buffers (``covered_at_*``)
-    and taken once per range edge; GPU busy time likewise from the launch's own
-    union. So nothing has to be clipped piece by piece.
-    """
-    ranges = settle(ranges)
-    trace_edges = _covered_at_edges(
-        gpu_intervals(cbs, ["trace_id"]), ranges, ["trace_id"], ("covered_at_range_start", "covered_at_range_end")
-    )
-    launch_edges = _covered_at_edges(gpu_intervals(cbs, LAUNCH), ranges, LAUNCH, ("_busy_before", "_busy_upto"))
-    inside = command_buffers_in_ranges(cbs, ranges.join(trace_edges, RANGE))
-    # At an edge of its own a command buffer knows the value, else the range does.
-    from_start = F.when(
-        F.col("clip_encode_start") == F.col("encode_start_ns"), F.col("covered_at_start")
-    ).otherwise(F.col("covered_at_range_start"))
-    to_end = F.when(
-        F.col("clip_encode_end") == F.col("encode_end_ns"), F.col("covered_at_end")
-    ).otherwise(F.col("covered_at_range_end"))
-    inside = inside.withColumn(
-        "hidden_inside_ns", F.when(F.col("clip_encode_start").isNotNull(), to_end - from_start).otherwise(0.0)
-    )
-    per_range = inside.groupBy(*RANGE).agg(
-        F.count(F.lit(1)).alias("cbs_total"),
-        F.sum("hidden_inside_ns").alias("hidden_host_ns"),
-        F.sum(F.col("clip_encode_end") - F.col("clip_encode_start")).alias("_encode"),
-        F.sum(F.col("clip_gpu_end") - F.col("clip_gpu_start")).alias("gpu_work_ns"),
-        (F.max("clip_gpu_end") - F.min("clip_gpu_start")).alias("gpu_span_ns"),
-    )
-    selected_dispatches = points_in_ranges(dispatches, ranges)
-    selected_waits = points_in_ranges(waits, ranges)
-    ops = selected_dispatches.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("ops_total"))
-
-    def number(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0.0))
-
-    joined = (
-        ranges.join(launch_edges, RANGE)
-        .join(per_range, RANGE, "left")
-        .join(ops, RANGE, "left")
-        .join(wait_totals(selected_waits, RANGE), RANGE, "left")
-        .join(omitted, LAUNCH, "left")
-        .withColumn("hidden_host_ns", number("hidden_host_ns"))
-    )
-    count = lambda *names: sum((F.coalesce(F.col(n), F.lit(0)) for n in names), F.lit(0))
-    summary = joined.select(
-        *RANGE,
-        "start_ns",
-        "end_ns",
-        (F.col("end_ns") - F.col("start_ns")).alias("wall_span_ns"),
-        (number("_encode") - F.col("hidden_host_ns")).alias("exposed_host_ns"),
-        "hidden_host_ns",
-        (F.col("_busy_upto") - F.col("_busy_before")).alias("gpu_busy_ns"),
-        number("gpu_work_ns").alias("gpu_work_ns"),
-        number("gpu_span_ns").alias("gpu_span_ns"),
-        *[number(c).alias(c) for c in WAIT_COLUMNS],
-        count("ops_total").alias("ops_total"),
-        count("cbs_total").alias("cbs_total"),
-        count("unplaced_dispatches", "unattributable_dispatches").alias("unplaced_dispatches"),
-        count("unanchored_waits", "unattributable_waits").alias("unanchored_waits"),
-    )
-    return RangeResult(
-        summary,
-        kernel_census(selected_dispatches, RANGE),
-        wait_taxonomy(selected_waits, RANGE),
-        inside,
-        selected_dispatches,
-        selected_waits,
-    )
-
-
 def focus_ranges(cbs: DataFrame, dispatches: DataFrame, waits: DataFrame, launches: DataFrame) -> DataFrame:
     """The stretch of each launch worth showing first.
 
