@@ -127,14 +127,22 @@ def overview_bins(
     )
 
 
-def _density_rows(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    columns = max(1, int(width))
+def pixel(at: Column, columns: int) -> Column:
+    """The pixel column of a time in its range; never smaller for a later time."""
     span = F.col("range_end_ns") - F.col("range_start_ns")
-    scaled = F.floor((F.col("at_ns") - F.col("range_start_ns")) / span * columns)
-    return selected.filter(span > 0).select(
+    scaled = F.floor((at - F.col("range_start_ns")) / span * columns)
+    return F.least(F.greatest(scaled, F.lit(0)), F.lit(columns - 1)).cast("int")
+
+
+def kernel_name() -> Column:
+    return F.when(F.length("kernel") > 0, F.col("kernel")).otherwise(UNKNOWN_KERNEL)
+
+
+def _density_rows(selected: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    return selected.filter("range_end_ns > range_start_ns").select(
         *keys, "range_start_ns", "range_end_ns", "at_ns", "line_no", "command_buffer_index",
-        F.least(F.greatest(scaled, F.lit(0)), F.lit(columns - 1)).cast("int").alias("bin"),
-        F.when(F.length("kernel") > 0, F.col("kernel")).otherwise(UNKNOWN_KERNEL).alias("kernel"),
+        pixel(F.col("at_ns"), max(1, int(width))).alias("bin"),
+        kernel_name().alias("kernel"),
     )
 
 
@@ -150,7 +158,6 @@ def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFr
     ``range_end_ns`` (see ``ranges.points_in_ranges``). ``command_buffer_index`` is the
     one owner of the bin, if it has just one; see ``density_owners`` for all.
     """
-    columns = max(1, int(width))
     order = F.struct("at_ns", "line_no")
     scope = [*keys, "range_start_ns", "range_end_ns", "bin"]
     per_kernel = (
@@ -165,6 +172,12 @@ def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFr
             F.max(F.col("command_buffer_index").isNull()).alias("_unowned"),
         )
     )
+    return folded_bins(per_kernel, keys, max(1, int(width))).drop("first_at_ns", "last_at_ns")
+
+
+def folded_bins(per_kernel: DataFrame, keys: Sequence[str], columns: int) -> DataFrame:
+    """Bins out of what each kernel has in them."""
+    scope = [*keys, "range_start_ns", "range_end_ns", "bin"]
     bins = per_kernel.groupBy(*scope).agg(
         F.sum("n").alias("count"),
         F.min_by("kernel", F.struct(-F.col("n"), F.col("kernel"))).alias("dominant_kernel"),
@@ -191,6 +204,8 @@ def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFr
         F.when((F.col("_low") == F.col("_high")) & ~F.col("_unowned"), F.col("_low")).alias("command_buffer_index"),
         F.col("first.line_no").alias("first_line_no"),
         F.col("last.line_no").alias("last_line_no"),
+        F.col("first.at_ns").alias("first_at_ns"),
+        F.col("last.at_ns").alias("last_at_ns"),
     )
 
 
@@ -199,7 +214,13 @@ def density_mode(selected: DataFrame, ranges: DataFrame, keys: Sequence[str], wi
     spread = selected.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.max("at_ns") - F.min("at_ns")).alias("extent")
     )
-    spacing = F.col("extent") / (F.col("end_ns") - F.col("start_ns")) * float(width) / (F.col("n") - 1)
+    return with_mode(ranges, spread, keys, width)
+
+
+def with_mode(ranges: DataFrame, spread: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+    """The mode of each range by the number ``n`` and ``extent`` of its dispatches; one of no length is never dense."""
+    length = F.col("end_ns") - F.col("start_ns")
+    spacing = F.col("extent") / F.nullif(length, F.lit(0.0)) * float(width) / (F.col("n") - 1)
     dense = F.when(F.col("n") >= 2, spacing < DENSITY_SPACING_PX)
     return ranges.join(spread, list(keys), "left").select(
         *keys,

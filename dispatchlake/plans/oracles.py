@@ -559,6 +559,8 @@ ORACLES["ordered_marks"] = """
       UNION ALL SELECT trace_id, CAST(at_ns AS DOUBLE), 1, 'wait', line_no FROM aw WHERE at_ns IS NOT NULL)"""
 ORACLES["dispatch_ranks"] = """
     SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq, line_no) - 1 AS place, CAST(seq AS BIGINT) AS seq FROM op"""
+ORACLES["density_from_pyramid"] = ORACLES["dispatch_density"]
+ORACLES["density_mode_from_pyramid"] = ORACLES["dispatch_density_mode"]
 ORACLES["stored_tables"] = ORACLES["wait_taxonomy_by_trace"]
 ORACLES["curated_files"] = """
     SELECT trace_id, n + 1 + (SELECT count(*) FROM op JOIN cut_cb c ON c.k = op.k WHERE c.trace_id = w.trace_id)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake.functions import names
 from dispatchlake.operators import bins as bins_
-from dispatchlake.operators import census, documents, intervals, marks, placement, ranges, summary
+from dispatchlake.operators import census, documents, intervals, marks, placement, pyramid, ranges, summary
 from dispatchlake.operators.audit import validate
 from dispatchlake.operators.curate import Curated, curate, write_curated
 from dispatchlake.operators.evidence import badges, grade, select_summary
@@ -222,7 +222,27 @@ def launch_overview(spark: SparkSession, folder: str) -> DataFrame:
 def dispatch_density(spark: SparkSession, folder: str) -> DataFrame:
     a = analysis(spark, folder)
     selected = ranges.points_in_ranges(a.dispatches, range_tables(a)[0])
-    found = bins_.density_bins(selected, ranges.RANGE, DENSITY_WIDTH)
+    return _density(bins_.density_bins(selected, ranges.RANGE, DENSITY_WIDTH))
+
+
+def _stored_pyramid(spark: SparkSession, a: Analysis) -> pyramid.Pyramid:
+    out = f"{checkpoint_dir(spark)}/pyramid-{uuid.uuid4().hex}"
+    pyramid.write_pyramid(pyramid.build_pyramid(a.dispatches), out)
+    return pyramid.read_pyramid(spark, out)
+
+
+def density_from_pyramid(spark: SparkSession, folder: str) -> DataFrame:
+    """The density of every range read from stored blocks."""
+    a = analysis(spark, folder)
+    return _density(pyramid.density_from_pyramid(_stored_pyramid(spark, a), range_tables(a)[0], ranges.RANGE, DENSITY_WIDTH))
+
+
+def density_mode_from_pyramid(spark: SparkSession, folder: str) -> DataFrame:
+    a = analysis(spark, folder)
+    return whole(pyramid.density_mode_from_pyramid(_stored_pyramid(spark, a), range_tables(a)[0], ranges.RANGE, 800))
+
+
+def _density(found: DataFrame) -> DataFrame:
     entries = F.transform(
         F.array_sort(F.map_entries("kernel_counts")), lambda e: F.concat_ws("=", e["key"], e["value"])
     )
@@ -525,6 +545,7 @@ QUERIES: dict[str, Query] = {
         kernel_census_by_trace, kernel_census_by_launch, kernel_rows, kernel_ranking,
         wait_taxonomy_by_trace, wait_taxonomy_by_launch, wait_report, headline_waits,
         wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
+        density_from_pyramid, density_mode_from_pyramid,
         launch_omissions, launch_availability, time_marks, ordered_marks, dispatch_ranks, stored_tables, curated_files, even_samples, sorted_report,
         range_requests, range_selections, range_summaries, range_kernels, range_waits,
         focus_windows, viewport_command_buffers, line_report, malformed_lines, normalized_command_buffers,
