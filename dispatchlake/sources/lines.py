@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +45,14 @@ def trace_id(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 24)
 
 
-def scan_lines(spark: SparkSession, root: str, parts: bool = False) -> DataFrame:
+SCANNED = "trace_id string, relative_path string, line_no bigint, value string, file_size bigint"
+
+
+def scan_lines(spark: SparkSession, root: str, parts: bool = False, paths: Sequence[str] | None = None) -> DataFrame:
     """``trace_id, relative_path, line_no, value, file_size`` for all captures below a folder.
 
     With ``parts`` a capture is a folder of part files in order, as ``write_curated``
-    writes them, instead of a single file.
+    writes them, instead of a single file. ``paths`` (below the folder) reads those files alone.
 
     Files are read once, in splits, in parallel, and stored with the split of each
     line and its place in it. A line's number is that place plus the lines of earlier
@@ -55,11 +61,15 @@ def scan_lines(spark: SparkSession, root: str, parts: bool = False) -> DataFrame
     grow, so nothing is ever matched against a second read of the text.
     """
     allow_repeated_keys(spark)
+    if paths is not None and not paths:
+        return spark.createDataFrame([], SCANNED)
+    # Of names that look like patterns every sign stands for itself.
+    files = root if paths is None else [f"{root}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
     read = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "part-*" if parts else CAPTURE_FILES)
-        .text(root)
+        .text(files)
         .select(
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
