@@ -68,13 +68,36 @@ def families(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def roll_up_census(census: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A coarser census out of a finer one (launches to traces), without the rows."""
-    return census.groupBy(*keys, "kernel").agg(
-        F.sum("count").alias("count"),
-        *[_total(c, f"kernel {c}") for c in KERNEL_SUMS],
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("raw_kernels")))).alias("raw_kernels"),
-    )
+#: Trace and launch in one aggregate.
+SCOPES = (("trace_id", "launch_index"), ("trace_id",))
+
+
+def _both_scopes(rows: DataFrame, by: Sequence[str], *measures: Column) -> DataFrame:
+    """Aggregates per trace and per launch with one shuffle: ``scope`` is "trace" or "launch".
+
+    Rows without a launch count for their trace only.
+    """
+    sets = [[*keys, *by] for keys in SCOPES]
+    found = rows.groupingSets(sets, *sets[0]).agg(F.grouping("launch_index").alias("_all"), *measures)
+    return found.filter("_all = 1 OR launch_index IS NOT NULL").withColumn("scope", F.when(F.col("_all") == 1, "trace").otherwise("launch")).drop("_all")
+
+
+def kernel_census_scopes(counted: DataFrame) -> DataFrame:
+    """Kernel census of every trace and every launch.
+
+    ``counted`` has ``trace_id, launch_index, kernel, count`` and the sums, for instance per
+    command buffer (``placement.counted_kernels``); a row counts into both scopes before the shuffle.
+    """
+    named = counted.filter("kernel IS NOT NULL").withColumn("family", kernel_family(F.col("kernel")))
+    sums = [_total(c, f"kernel {c}") for c in KERNEL_SUMS]
+    found = _both_scopes(named, ["family"], F.sum("count").alias("count"), *sums, F.array_sort(F.collect_set("kernel")).alias("raw_kernels"))
+    return found.withColumnRenamed("family", "kernel")
+
+
+def wait_taxonomy_scopes(waits: DataFrame) -> DataFrame:
+    """Wait taxonomy of every trace and every launch."""
+    keys = ["bucket", "wait_class", "detail_class", "headline_category"]
+    return taxonomy(_both_scopes(waits.filter("bucket IS NOT NULL"), keys, F.count(F.lit(1)).alias("count"), checked(F.sum(usable_wait()), "wait duration").alias("wait_ns")))
 
 
 def census_order(census: DataFrame, keys: Sequence[str]) -> DataFrame:

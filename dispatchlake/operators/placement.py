@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.operators.census import KERNEL_SUMS
 from dispatchlake.operators.ordered import with_rank
 
 OWNER = ["trace_id", "command_buffer_index"]
 FALLBACK = "legacy-command-buffer-fallback"
 
 
+def whole_owner(rows: DataFrame) -> DataFrame:
+    """Indices of command buffers, which are whole numbers, as such: for tables stored by owner."""
+    return rows.withColumn("command_buffer_index", F.col("command_buffer_index").cast("bigint"))
+
+
 def duplicate_indices(cbs: DataFrame) -> DataFrame:
     """Command-buffer indices that occur more than once in a trace."""
     return (
@@ -48,6 +54,17 @@ def sequence_bounds(ops: DataFrame, cbs: DataFrame) -> DataFrame:
     )
 
 
+def counted_kernels(ops: DataFrame, cbs: DataFrame) -> DataFrame:
+    """Operations counted by owner and kernel, with the owner's ``launch_index``.
+
+    Counting comes before the join, so what meets the command buffers is a row per
+    owner and kernel. No position is needed to know the launch of an operation.
+    """
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in KERNEL_SUMS]
+    counted = ops.filter("kernel IS NOT NULL").groupBy(*OWNER, "kernel").agg(F.count(F.lit(1)).alias("count"), *sums)
+    return counted.join(cbs.filter("command_buffer_index IS NOT NULL").select(*OWNER, "launch_index"), OWNER, "left")
+
+
 def place(ops: DataFrame, cbs: DataFrame) -> DataFrame:
     """Give each operation a position inside its command buffer's encode interval.
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.bins import overview_bins
-from dispatchlake.operators.census import kernel_census, wait_taxonomy
+from dispatchlake.operators.census import KERNEL_SUMS, families, kernel_census, kernel_census_scopes, wait_taxonomy, wait_taxonomy_scopes
 from dispatchlake.operators.exposure import encode_coverage, exposure
 from dispatchlake.operators.intervals import Coverage
 from dispatchlake.operators.launches import LAUNCH, Launches, assign_waits, omissions, partition_launches
-from dispatchlake.operators.placement import anchor_waits, place, quarantine
+from dispatchlake.operators.placement import anchor_waits, counted_kernels, place, quarantine
 from dispatchlake.operators.ranges import range_availability
 from dispatchlake.operators.summary import summarize
 from dispatchlake.session import settle
@@ -113,8 +113,22 @@ class Analysis:
         return range_availability(self.command_buffers, self.dispatches, self.launches)
 
     def kernel_census(self, keys: list[str]) -> DataFrame:
-        rows = self.ops if keys == TRACE else self.dispatches.filter("launch_index IS NOT NULL")
-        return kernel_census(rows, keys)
+        if keys == TRACE:
+            return kernel_census(self.ops, keys)
+        counted = self._counted.filter("launch_index IS NOT NULL").groupBy(*keys, "kernel")
+        return families(counted.agg(*[F.sum(c).alias(c) for c in ("count", *KERNEL_SUMS)]), keys)
+
+    @property
+    def _counted(self) -> DataFrame:
+        return counted_kernels(self.ops, self._launches.cbs)
+
+    def kernel_census_scopes(self) -> DataFrame:
+        """Kernel census of traces and launches together."""
+        return kernel_census_scopes(self._counted)
+
+    def wait_taxonomy_scopes(self) -> DataFrame:
+        """Wait taxonomy of traces and launches together."""
+        return wait_taxonomy_scopes(self.launch_waits)
 
     def wait_taxonomy(self, keys: list[str]) -> DataFrame:
         rows = self.anchored_waits if keys == TRACE else self.launch_waits.filter("launch_index IS NOT NULL")

@@ -559,6 +559,11 @@ ORACLES["ordered_marks"] = """
       UNION ALL SELECT trace_id, CAST(at_ns AS DOUBLE), 1, 'wait', line_no FROM aw WHERE at_ns IS NOT NULL)"""
 ORACLES["dispatch_ranks"] = """
     SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq, line_no) - 1 AS place, CAST(seq AS BIGINT) AS seq FROM op"""
+for _name in ("kernel_census", "wait_taxonomy"):
+    _trace, _launch = ORACLES[f"{_name}_by_trace"], ORACLES[f"{_name}_by_launch"]
+    ORACLES[f"{_name}_scopes"] = f"""
+    SELECT 'trace' AS scope, NULL AS launch_index, * FROM ({_trace}) UNION ALL BY NAME SELECT 'launch' AS scope, * FROM ({_launch})"""
+ORACLES["placement_from_buckets"] = ORACLES["dispatch_placement"]
 ORACLES["density_from_pyramid"] = ORACLES["dispatch_density"]
 ORACLES["density_mode_from_pyramid"] = ORACLES["dispatch_density_mode"]
 ORACLES["stored_tables"] = ORACLES["wait_taxonomy_by_trace"]

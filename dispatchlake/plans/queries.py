@@ -23,7 +23,7 @@ from dispatchlake.plans.analysis import Analysis
 from dispatchlake.session import checkpoint_dir, settle
 from dispatchlake.sources.captures import closed_lines, mixed_lines
 from dispatchlake.sources.lines import parse_diagnostics, parse_lenient, scan_lines, trace_id
-from dispatchlake.sources.store import write_tables
+from dispatchlake.sources.store import write_bucketed, write_tables
 from dispatchlake.sources.tables import read_table, trace_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +144,19 @@ def operation_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dispatch_placement(spark: SparkSession, folder: str) -> DataFrame:
-    placed = analysis(spark, folder).dispatches
+    return _placed(analysis(spark, folder).dispatches)
+
+
+def placement_from_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Dispatches placed out of tables stored by owner: bounds and placement shuffle nothing."""
+    a = analysis(spark, folder)
+    out = f"{checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (ops, unowned), (cbs, _) = (write_bucketed(placement.whole_owner(t), f"{out}/{n}", placement.OWNER, buckets) for n, t in (("ops", a.ops), ("cbs", a._launches.cbs)))
+    return _placed(placement.place(ops, cbs).unionByName(placement.place(unowned, cbs.limit(0))))
+
+
+def _placed(placed: DataFrame) -> DataFrame:
     counted = placed.groupBy("trace_id", "command_buffer_index", "launch_index", "seq", "placement_detail", "at_ns")
     rows = counted.agg(F.count(F.lit(1)).alias("dispatches"))
     positioned = rows.withColumn("position_ns", F.round("at_ns", 3)).drop("at_ns")
@@ -171,6 +183,17 @@ def kernel_census_by_launch(spark: SparkSession, folder: str) -> DataFrame:
     return whole(found.withColumn("raw_kernels", listed("raw_kernels")))
 
 
+def kernel_census_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Kernel census of traces and launches out of one aggregate."""
+    found = analysis(spark, folder).kernel_census_scopes()
+    return whole(found.withColumn("raw_kernels", listed("raw_kernels")))
+
+
+def wait_taxonomy_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Wait taxonomy of traces and launches out of one aggregate."""
+    return whole(analysis(spark, folder).wait_taxonomy_scopes())
+
+
 def kernel_rows(spark: SparkSession, folder: str) -> DataFrame:
     ops = trace_tables(spark, folder).ops
     # One kind of kernel is left without a name to show the unnamed group.
@@ -545,7 +568,7 @@ QUERIES: dict[str, Query] = {
         kernel_census_by_trace, kernel_census_by_launch, kernel_rows, kernel_ranking,
         wait_taxonomy_by_trace, wait_taxonomy_by_launch, wait_report, headline_waits,
         wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
-        density_from_pyramid, density_mode_from_pyramid,
+        density_from_pyramid, density_mode_from_pyramid, kernel_census_scopes, wait_taxonomy_scopes, placement_from_buckets,
         launch_omissions, launch_availability, time_marks, ordered_marks, dispatch_ranks, stored_tables, curated_files, even_samples, sorted_report,
         range_requests, range_selections, range_summaries, range_kernels, range_waits,
         focus_windows, viewport_command_buffers, line_report, malformed_lines, normalized_command_buffers,
