@@ -88,9 +88,11 @@ def segments(scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in one pass.
 
     ``scores``: above 0, or -``drift``. A segment can't be made better by growing
-    or shrinking it, and none lies in another.
+    or shrinking it, and none lies in another. Each open segment leads to the last
+    one before it whose sum to the left is lower, so what a search passed over is
+    never walked again, and the time is linear in the scores.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, and the running sums before and after
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, the running sums before and after, and where it leads
     total, seen = 0.0, 0
     for i, score in enumerate(scores):
         if score <= 0:
@@ -99,16 +101,16 @@ def segments(scores: list[float], drift: float) -> list[tuple[int, int, float]]:
         seen = i + 1
         mine = (i, i + 1, total, total + score)
         total += score
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= mine[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= mine[3]:
-                found.append(mine)
-                break
-            mine = (found[j][0], mine[1], found[j][2], mine[3])
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= mine[2]:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < mine[3]:
+            start, _, before, _, lower = found[j]
+            mine = (start, mine[1], before, mine[3])
             del found[j:]
-    return [(start, end, after - before) for start, end, before, after in found]
+            j = lower
+        found.append((*mine, j))
+    return [(start, end, after - before) for start, end, before, after, _ in found]
 
 
 def _rate(histogram: dict[float, int]) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 from dispatchlake.llm import toxicity
@@ -34,6 +35,16 @@ def brute_segments(scores, offset=0):
     return brute_segments(scores[:i], offset) + [(i + offset, j + offset, best)] + brute_segments(scores[j:], offset + j)
 
 
+def test_segments_take_linear_time():
+    n = 1_000_000
+    rng = random.Random(2)
+    for scores in ([1.0, -0.1] * (n // 2), [0.05, -0.1] * (n // 2), [rng.choice([-0.3, 0.1, 0.3]) for _ in range(n)], [0.2 * (i % 3 == 0) - 0.1 for i in range(n)]):
+        drift = -min(scores)
+        start = time.time()
+        toxicity.segments([s if s > 0 else -drift for s in scores], drift)
+        assert time.time() - start < 10
+
+
 def test_segments():
     rng = random.Random(1)
     for _ in range(400):
