@@ -563,6 +563,10 @@ for _name in ("kernel_census", "wait_taxonomy"):
     _trace, _launch = ORACLES[f"{_name}_by_trace"], ORACLES[f"{_name}_by_launch"]
     ORACLES[f"{_name}_scopes"] = f"""
     SELECT 'trace' AS scope, NULL AS launch_index, * FROM ({_trace}) UNION ALL BY NAME SELECT 'launch' AS scope, * FROM ({_launch})"""
+ORACLES["empty_buffers_in_ranges"] = """
+    SELECT trace_id, launch AS launch_index, range_id, count(*) FILTER (WHERE CASE WHEN k % 89 = 0 THEN es BETWEEN a AND b
+             ELSE least(ee, b) > greatest(es, a) OR least(ge, b) > greatest(gs, a) END) AS cbs_total
+    FROM rng LEFT JOIN lcb USING (trace_id, launch) GROUP BY trace_id, launch, range_id"""
 ORACLES["placement_from_buckets"] = ORACLES["dispatch_placement"]
 ORACLES["density_from_pyramid"] = ORACLES["dispatch_density"]
 ORACLES["density_mode_from_pyramid"] = ORACLES["dispatch_density_mode"]

@@ -385,6 +385,19 @@ def range_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return whole(range_result(analysis(spark, folder)).summary)
 
 
+def empty_buffers_in_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Some command buffers are instants without operations: they are in a range that has their instant."""
+    a = analysis(spark, folder)
+    start, instant = F.col("encode_start_ns"), F.col("command_buffer_index") % 89 == 0
+    cbs = a.command_buffers.withColumns({
+        "encode_end_ns": F.when(instant, start).otherwise(F.col("encode_end_ns")),
+        "gpu_end_ns": F.when(~instant, F.col("gpu_end_ns")),
+        "op_count": F.when(instant, 0.0),
+    })
+    found = ranges.analyze_ranges(cbs, a.dispatches, a.launch_waits, range_tables(a)[0], a.launch_omissions)
+    return whole(found.summary.select(*ranges.RANGE, "cbs_total"))
+
+
 def range_kernels(spark: SparkSession, folder: str) -> DataFrame:
     found = range_result(analysis(spark, folder)).kernels
     return whole(found.withColumn("raw_kernels", listed("raw_kernels")))
@@ -570,7 +583,7 @@ QUERIES: dict[str, Query] = {
         wait_bucket_totals, metric_lines, launch_overview, dispatch_density, dispatch_density_owners, dispatch_density_mode,
         density_from_pyramid, density_mode_from_pyramid, kernel_census_scopes, wait_taxonomy_scopes, placement_from_buckets,
         launch_omissions, launch_availability, time_marks, ordered_marks, dispatch_ranks, stored_tables, curated_files, even_samples, sorted_report,
-        range_requests, range_selections, range_summaries, range_kernels, range_waits,
+        range_requests, range_selections, range_summaries, empty_buffers_in_ranges, range_kernels, range_waits,
         focus_windows, viewport_command_buffers, line_report, malformed_lines, normalized_command_buffers,
         normalized_operations, normalized_waits, reported_buckets, evidence_grades, strict_violations,
         curated_windows, curated_rows, curated_verification, run_names, visible_evidence, range_report_figures,

@@ -1,11 +1,12 @@
-"""Registered query over the row rules of the strict profile: each rule broken by some orders."""
+"""Registered queries over the rules of the strict profile, each broken by some orders: of rows, between summaries, between ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.operators.audit import validate
+from dispatchlake.operators.audit import range_overlaps, summary_audit, summary_rows, validate
+from dispatchlake.sources.lines import with_parse
 from dispatchlake.sources.tables import read_table
 
 _CB = '{"record":"cb","command_buffer_index":#,'
@@ -61,10 +62,60 @@ def strict_row_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("trace_id", "code").agg(F.count(F.lit(1)).alias("violations"), F.sum("line_no").alias("lines"))
 
 
-QUERIES = {"strict_row_rules": strict_row_rules}
+#: Summaries of a capture, one per order key k. Spark SQL and other engines read this alike.
+SUMMARY = """concat('{"record":"summary","summary_seq":', k, ',"final":', CASE WHEN k % 997 = 11 THEN 'true' ELSE 'false' END,
+  ',"complete":true,"dropped_rows":0,"ops_total":', k, ',"cbs_total":', k, ',"mode":"', CASE WHEN k % 53 = 5 THEN 'y' ELSE 'x' END,
+  '"', CASE WHEN k % 59 = 6 THEN ',"note":1' ELSE '' END, ',"buckets":{"a":{"count":', k, ',"total_ns":', CASE WHEN k % 61 = 7 THEN 0 ELSE k END, '}',
+  CASE WHEN k % 41 = 3 THEN '' ELSE ',"b":{"count":1,"total_ns":1}' END, '}}')"""
+
+
+def summary_rule_breaches(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed fields that change, buckets that go or shrink, rows and finals after the final summary, by capture and code."""
+    key = F.col("o_orderkey")
+    orders = read_table(spark, folder, "orders").select((F.col("o_custkey") % 8).cast("string").alias("trace_id"), key.alias("line_no"), key.alias("k"))
+    parsed = with_parse(orders.select("trace_id", "line_no", F.expr(SUMMARY).alias("value")))
+    found = summary_audit(summary_rows(parsed.withColumn("kind", F.lit("summary"))))
+    return found.groupBy("trace_id", "code").agg(F.count(F.lit(1)).alias("violations"), F.sum("line_no").alias("lines"))
+
+
+def overlapping_operation_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Command buffers whose operations begin before those of the one before have ended."""
+    key = F.col("o_orderkey")
+    last = 10 * key + F.when(key % 37 == 0, 100).when(key % 5 == 0, 10).otherwise(9)
+    cbs = read_table(spark, folder, "orders").select(
+        (F.col("o_custkey") % 8).cast("string").alias("trace_id"), key.alias("line_no"), key.alias("command_buffer_index"),
+        F.when(key % 11 == 0, 0).otherwise(5).alias("op_count"), (10 * key).alias("first_op_seq"), last.alias("last_op_seq"),
+    )
+    return range_overlaps(cbs).select("trace_id", "line_no", "code", "detail")
+
+
+QUERIES = {f.__name__: f for f in (strict_row_rules, summary_rule_breaches, overlapping_operation_ranges)}
 _CODE = _case("o_orderkey", [f"'{code}'" if code else "NULL" for _, code in CASES])
 ORACLES = {
     "strict_row_rules": f"""
         SELECT CAST(o_custkey % 8 AS VARCHAR) AS trace_id, {_CODE} AS code, count(*) AS violations, CAST(sum(o_orderkey) AS BIGINT) AS lines
-        FROM orders WHERE {_CODE} IS NOT NULL GROUP BY ALL"""
+        FROM orders WHERE {_CODE} IS NOT NULL GROUP BY ALL""",
+    "summary_rule_breaches": """
+        WITH o AS (
+          SELECT CAST(o_custkey % 8 AS VARCHAR) AS trace_id, o_orderkey AS k, k % 53 = 5 AS mode, k % 59 = 6 AS note, k % 997 = 11 AS final,
+            CASE WHEN k % 61 = 7 THEN 0 ELSE k END AS total, k % 41 <> 3 AS b FROM orders
+        ),
+        s AS (
+          SELECT *, lag(mode) OVER w AS mode0, lag(note) OVER w AS note0, lag(total) OVER w AS total0, lag(b) OVER w AS b0,
+            coalesce(bool_or(final) OVER (PARTITION BY trace_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over
+          FROM o WINDOW w AS (PARTITION BY trace_id ORDER BY k)
+        ),
+        v AS (
+          SELECT *, unnest([
+            CASE WHEN note <> note0 THEN 'summary-schema' END, CASE WHEN mode <> mode0 OR note <> note0 THEN 'summary-fixed-fields' END,
+            CASE WHEN b0 AND NOT b THEN 'summary-bucket-removed' END, CASE WHEN total < total0 THEN 'summary-bucket-decreased' END,
+            CASE WHEN over THEN CASE WHEN final THEN 'several-final-summaries' ELSE 'summary-after-final' END END]) AS code FROM s
+        )
+        SELECT trace_id, code, count(*) AS violations, CAST(sum(k) AS BIGINT) AS lines FROM v WHERE code IS NOT NULL GROUP BY ALL""",
+    "overlapping_operation_ranges": """
+        SELECT trace_id, k AS line_no, 'operation-ranges-overlap' AS code, CAST(10 * k AS VARCHAR) AS detail FROM (
+          SELECT CAST(o_custkey % 8 AS VARCHAR) AS trace_id, o_orderkey AS k,
+            lag(10 * o_orderkey + CASE WHEN o_orderkey % 37 = 0 THEN 100 WHEN o_orderkey % 5 = 0 THEN 10 ELSE 9 END) OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) AS last
+          FROM orders WHERE o_orderkey % 11 <> 0)
+        WHERE 10 * k <= last""",
 }
