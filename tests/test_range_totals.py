@@ -86,7 +86,8 @@ def found_by(spark, *rows):
     return {k: tuple(v) for k, v in out.items()}
 
 
-def some_rows(rng, wide):
+def some_rows(rng, wide, first=0):
+    """Rows of the traces t<first> and t<first + 1>."""
     def interval():
         if rng.random() < 0.2:
             return None, None
@@ -95,29 +96,24 @@ def some_rows(rng, wide):
 
     cbs = []
     for i in range(60):
-        trace, launch = f"t{i % 2}", rng.choice([0, 1, None])
+        trace, launch = f"t{first + i % 2}", rng.choice([0, 1, None])
         cbs.append((trace, launch, i, float(i), rng.choice([0.0, 0.0, 3.0, None]), *interval(), *interval()))
-    gpu = {t: [(c[7], c[8]) for c in cbs if c[0] == t and c[7] is not None and c[8] > c[7]] for t in ("t0", "t1")}
+    gpu = {t: [(c[7], c[8]) for c in cbs if c[0] == t and c[7] is not None and c[8] > c[7]] for t in (f"t{first}", f"t{first + 1}")}
     cbs = [(*c, *(covered(gpu[c[0]], x) if c[5] is not None else None for x in c[5:7])) for c in cbs]
-    place = lambda: (f"t{rng.randint(0, 1)}", rng.choice([0, 1, None]), rng.choice([None, *map(float, range(wide))]))
+    place = lambda: (f"t{first + rng.randint(0, 1)}", rng.choice([0, 1, None]), rng.choice([None, *map(float, range(wide))]))
     dispatches = [(*place(), rng.choice(["a", "b", None]), 1.0, rng.choice([None, 4.0]), 0.0) for _ in range(80)]
     waits = [(*place(), *rng.choice([("x", "c", "d", "cap"), ("y", "c", "d", None), (None, None, None, None)]), float(rng.randint(0, 9))) for _ in range(40)]
-    asked = [(f"t{i % 2}", i % 3, f"r{i}", float(a := rng.randint(-3, wide)), float(a + rng.choice([1, 2, 5, wide]))) for i in range(40)]
+    asked = [(f"t{first + i % 2}", i % 3, f"r{i}", float(a := rng.randint(-3, wide)), float(a + rng.choice([1, 2, 5, wide]))) for i in range(40)]
     return cbs, dispatches, waits, asked
 
 
-def test_random_rows(spark):
-    for seed, wide in ((1, 12), (2, 60)):
-        rows = some_rows(random.Random(seed), wide)
-        assert found_by(spark, *rows) == plain(*rows)
-
-
-def test_gaps_inside_command_buffers(spark):
-    """Ranges wholly between the parts of a command buffer do not have it."""
-    cbs = [("t0", 0, i, float(i), 3.0, float(i), float(i + 2), float(90 - i), float(95 + i), 0.0, 0.0) for i in range(30)]
-    cbs.append(("t0", 0, 99, 99.0, 0.0, 10.0, 10.0, 80.0, 80.0, None, None))
-    asked = [("t0", 0, f"r{a}-{b}", float(a), float(b)) for a in (0, 10, 11, 32, 40, 79) for b in (12, 32, 50, 80, 81, 91) if b > a]
-    rows = cbs, [], [], asked
+def test_totals(spark):
+    """Crowded and sparse rows, and command buffers with a gap that has whole ranges."""
+    crowded, sparse = some_rows(random.Random(1), 12), some_rows(random.Random(2), 60, 2)
+    cbs = [("gap", 0, i, float(i), 3.0, float(i), float(i + 2), float(90 - i), float(95 + i), 0.0, 0.0) for i in range(30)]
+    cbs.append(("gap", 0, 99, 99.0, 0.0, 10.0, 10.0, 80.0, 80.0, None, None))
+    asked = [("gap", 0, f"r{a}-{b}", float(a), float(b)) for a in (0, 10, 11, 32, 40, 79) for b in (12, 32, 50, 80, 81, 91) if b > a]
+    rows = crowded[0] + sparse[0] + cbs, crowded[1] + sparse[1], crowded[2] + sparse[2], crowded[3] + sparse[3] + asked
     assert found_by(spark, *rows) == plain(*rows)
 
 
