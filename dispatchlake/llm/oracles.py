@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dispatchlake.llm.quality import BASE_RULES, HOST_RULES, LEAST_WEIGHT, RULES
+from dispatchlake.llm.quality import BASE_RULES, HOST_RULES, RULES, SURE, TOLERATED, WEIGHT
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -29,12 +29,15 @@ measured AS (
 ),
 by_host AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {test}) AS {rule}" for rule, test in RULES.items())} FROM measured WHERE host IS NOT NULL GROUP BY host),
 by_rule AS ({" UNION ALL ".join(f"SELECT host, '{rule}' AS rule, n, {rule} AS failed FROM by_host" for rule in RULES)}),
-totals AS (SELECT rule, count(*) AS hosts, sum(n) AS all_n, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS squares FROM by_rule GROUP BY rule),
-priors AS (SELECT rule, mean, greatest(mean * (1 - mean) / greatest(squares / all_n - mean * mean - mean * (1 - mean) * hosts / all_n, 1e-6) - 1, {LEAST_WEIGHT}) AS weight FROM totals),
-flagged AS (SELECT host, rule FROM by_rule JOIN priors USING (rule) WHERE (failed + mean * weight) / (n + weight) > 0.2),
+totals AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS all_n, sum(n * n) AS square_n, sum(failed) / sum(n) AS mean, sum(failed * failed / n) AS squares FROM by_rule GROUP BY rule
+),
+priors AS (SELECT rule, mean, {WEIGHT} AS weight FROM totals),
+rates AS (SELECT host, rule, n + weight AS total, (failed + mean * weight) / (n + weight) AS rate FROM by_rule JOIN priors USING (rule)),
+flagged AS (SELECT host, rule FROM rates WHERE rate - {SURE} * sqrt(rate * (1 - rate) / (total + 1)) > {TOLERATED}),
 judged AS (
   SELECT m.*, ({_BASE}) AS base_failed,
-    NOT ({_BASE}) AND NOT ({" OR ".join(f"(({test}) AND host IN (SELECT host FROM flagged WHERE rule IN ('{rule}', 'short', 'repeats')))" for rule, test in HOST_RULES.items())}) AS kept
+    NOT ({_BASE}) AND NOT ({" OR ".join(f"(({test}) AND host IN (SELECT host FROM flagged WHERE rule = '{rule}'))" for rule, test in HOST_RULES.items())}) AS kept
   FROM measured m
 )
 """

@@ -13,6 +13,8 @@ from dispatchlake.llm.common import SPACE_BYTES, map_slices, staged, text_key, w
 WINDOW = 5
 #: Documents that the prior of a host's failure rate is worth at the least.
 LEAST_WEIGHT = 20.0
+#: Share of a host's documents that may fail a rule, and how many standard errors the host must be above it.
+TOLERATED, SURE = 0.05, 1.28
 SYMBOLS = b"#*$%&|<>"
 
 #: Base rules reject a document by themselves. The others bind only where the host has failed them.
@@ -27,6 +29,10 @@ HOST_RULES = {
 }
 RULES = BASE_RULES | HOST_RULES
 
+#: Spread of the hosts' rates beyond chance, as the correlation within a host, and the weight of a prior with that spread.
+WITHIN = "coalesce((squares - all_n * mean * mean) / nullif(mean * (1 - mean), 0) - (hosts - 1), 0) / nullif(all_n - square_n / all_n - (hosts - 1), 0)"
+WEIGHT = f"greatest({LEAST_WEIGHT}, 1 / greatest(coalesce({WITHIN}, 0), 1 / (all_n + 1)) - 1)"
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
@@ -63,12 +69,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """Failures of every rule by host, and the rate shrunk towards all hosts.
-
-    The prior of a rule is a beta distribution with the mean and the spread of
-    the hosts' rates (by moments; what sampling alone spreads is taken off), worth
-    ``LEAST_WEIGHT`` documents at least. A host of few documents stays near the
-    mean; a large one keeps its own rate.
+    """Failures of every rule by host, the rate shrunk towards all hosts, and its standard error.
+
+    The prior of a rule is a beta distribution with the mean of all hosts. Its
+    weight in documents comes from the moments of a beta-binomial over the
+    hosts' own sizes: the less the rates spread beyond chance, the more it is
+    worth, from ``LEAST_WEIGHT`` up to all documents. A host of few documents
+    stays near the mean; a large one keeps its own rate. ``error`` is the
+    standard deviation of the host's posterior.
     Hosts are summed in every task before the shuffle, so a host that holds a
     third of all rows is no more work than another.
     """
@@ -77,24 +85,23 @@ def host_rates(measured: DataFrame) -> DataFrame:
     totals = by_rule.groupBy("rule").agg(
         F.count("*").alias("hosts"),
         F.sum("n").alias("all_n"),
+        F.sum(F.col("n") * F.col("n")).alias("square_n"),
         (F.sum("failed") / F.sum("n")).alias("mean"),
         F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("squares"),
     )
-    spread = F.col("squares") / F.col("all_n") - F.col("mean") * F.col("mean")
-    chance = F.col("mean") * (1 - F.col("mean")) * F.col("hosts") / F.col("all_n")
-    between = F.greatest(spread - chance, F.lit(1e-6))
-    weight = F.greatest(F.col("mean") * (1 - F.col("mean")) / between - 1, F.lit(LEAST_WEIGHT))
-    priors = totals.select("rule", (F.col("mean") * weight).alias("a"), ((1 - F.col("mean")) * weight).alias("b"))
-    return by_rule.join(priors, "rule").select("host", "rule", "n", "failed", ((F.col("failed") + F.col("a")) / (F.col("n") + F.col("a") + F.col("b"))).alias("rate"))
+    priors = totals.select("rule", "mean", F.expr(WEIGHT).alias("weight"))
+    rates = by_rule.join(priors, "rule").withColumn("rate", F.expr("(failed + mean * weight) / (n + weight)"))
+    return rates.select("host", "rule", "n", "failed", "rate", F.expr("sqrt(rate * (1 - rate) / (n + weight + 1))").alias("error"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", tolerated: float = TOLERATED, sure: float = SURE) -> DataFrame:
     """Figures, rule failures and verdict of every document.
 
     A document is rejected when it fails a base rule, or when it fails another
-    rule that its host fails too: the shrunk rate of the host is over
-    ``host_limit``. On a host that fails a base rule at such a rate all rules
-    bind. A document that fails no rule is kept wherever it comes from.
+    rule that its host fails too. A host fails a rule when its rate is above
+    ``tolerated`` for sure: by ``sure`` standard errors of its posterior (1.28
+    is a probability of 0.9). Elsewhere such a document is an exception on a
+    good host and stays, as does any document that fails no rule.
 
     Defined results: a null or empty text has no words, so it fails ``short``;
     a null host has no verdict; repeated rows are each judged and each count;
@@ -102,10 +109,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     empty table gives an empty result.
     """
     measured = staged(measure(docs, id_col, text_col, host_col))
-    flagged = host_rates(measured).where(F.col("rate") > host_limit)
+    flagged = host_rates(measured).where(F.col("rate") - sure * F.col("error") > tolerated)
     verdicts = staged(flagged.groupBy("host").agg(*(F.max(F.col("rule") == rule).alias(f"_{rule}") for rule in RULES)))
-    base_host = F.coalesce(F.col("_short") | F.col("_repeats"), F.lit(False))
-    bound = [F.expr(test) & (F.coalesce(F.col(f"_{rule}"), F.lit(False)) | base_host) for rule, test in HOST_RULES.items()]
+    bound = [F.expr(test) & F.coalesce(F.col(f"_{rule}"), F.lit(False)) for rule, test in HOST_RULES.items()]
     failed = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(rule)) for rule, test in RULES.items())))
     base_failed = F.expr(" OR ".join(f"({test})" for test in BASE_RULES.values()))
     host_failed = F.array_compact(F.array(*(F.when(F.col(f"_{rule}"), F.lit(rule)) for rule in RULES)))

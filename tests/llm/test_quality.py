@@ -6,6 +6,7 @@ import random
 import re
 
 from dispatchlake.llm import quality
+from dispatchlake.llm.queries import QUERIES
 
 
 def plain(text):
@@ -40,6 +41,34 @@ def test_verdicts(spark):
     assert quality.judge(docs.where("false")).count() == 0
 
 
+def test_weight_follows_the_spread_of_hosts(spark):
+    """Hosts that differ by chance alone give a prior worth many documents; hosts that differ, one of few."""
+    from pyspark.sql import functions as F
+
+    def figures(rates):
+        rows = [(h, i, int(i % 100 < rate)) for h, rate in enumerate(rates) for i in range(400)]
+        frame = spark.createDataFrame(rows, "h long, i long, bad int")
+        zero = [F.lit(0).cast("long").alias(c) for c in ("n_lines", "n_dup_lines", "n_repeat_words")]
+        return frame.select(F.col("h").cast("string").alias("host"), F.lit(20).alias("n_words"), F.lit(100).alias("word_chars"), (F.col("bad") * 20).alias("n_symbols"), *zero)
+
+    alike = {r.host: r for r in quality.host_rates(figures([7] * 10)).where("rule = 'symbols'").collect()}
+    assert all(abs(r.rate - 0.07) < 1e-9 and r.rate - 1.28 * r.error > 0.05 for r in alike.values())
+    apart = {r.host: r for r in quality.host_rates(figures([0, 1, 2, 3, 40])).where("rule = 'symbols'").collect()}
+    assert apart["4"].rate > 0.35 and apart["0"].rate < 0.01
+    assert [h for h, r in sorted(apart.items()) if r.rate - 1.28 * r.error > 0.05] == ["4"]
+
+
+def test_host_verdicts_decide(spark):
+    """On sf0.1 the hosts' verdicts reject documents that no base rule does, and hardly one that is labelled good."""
+    folder = "/root/testdata/sf0.1"
+    got = QUERIES["op4_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "left").collect()
+    by_host = [r for r in got if not r.base_failed and not r.kept]
+    assert len(by_host) == 698
+    assert sum(r.quality == 0 for r in by_host) > 250 and not any(r.quality == 1 for r in by_host)
+    good = [r.kept for r in got if r.quality == 1 and r.n_words >= 10]
+    assert sum(good) >= 0.98 * len(good)
+
+
 def docs_column():
     from pyspark.sql import functions as F
 
