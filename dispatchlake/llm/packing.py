@@ -15,8 +15,8 @@ from dispatchlake.llm.tokens import encoded
 
 #: Windows that are balanced against each other at once. It bounds what a task holds.
 TOGETHER = 256
-#: The window count may rise by one in so many before excess is cut off instead.
-RISE = 100
+#: No item that is balanced is longer than this part of a window. Small items balance well, so the count of windows hardly has to rise.
+PARTS = 8
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -55,39 +55,32 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return found
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+def windows_of(sizes: list[int], capacity: int, parts: int = PARTS) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (number, start, length) that hold all of ``sizes``, none over ``capacity``.
 
-    The count starts at the least that can hold all and rises while a window is
-    over capacity. After one rise in ``RISE`` windows the excess is small: it is
-    cut off, and the cuts go where there is room.
+    Sizes over a ``parts``-th of the capacity are cut into items of that length
+    and a rest. The count of windows starts at the least that can hold all, and
+    rises by one as long as differencing leaves a window over capacity.
+    Neighbouring items of one size that meet in a window are one piece.
     """
-    least = -(-sum(sizes) // capacity)
-    for count in range(least, least + least // RISE + 1):
-        dealt = difference(sizes, count)
-        if all(sum(sizes[i] for i in window) <= capacity for window in dealt):
-            return [[(i, 0, sizes[i]) for i in window] for window in dealt]
-    packed, cuts = [], []
+    longest = max(1, capacity // parts)
+    items = [(i, start, min(longest, size - start)) for i, size in enumerate(sizes) for start in range(0, size, longest)]
+    lengths = [length for _, _, length in items]
+    count = -(-sum(lengths) // capacity)
+    dealt = difference(lengths, count)
+    while any(sum(lengths[k] for k in window) > capacity for window in dealt):
+        count += 1
+        dealt = difference(lengths, count)
+    windows = []
     for window in dealt:
-        pieces, room = [], capacity
-        for i in window:
-            taken = min(sizes[i], room)
-            if taken:
-                pieces.append((i, 0, taken))
-            if taken < sizes[i]:
-                cuts.append((i, taken, sizes[i] - taken))
-            room -= taken
-        packed.append((room, pieces))
-    packed += [(capacity, []) for _ in range(count - len(packed))]
-    for room, pieces in sorted(packed, key=lambda p: -p[0]):
-        while room and cuts:
-            i, start, length = cuts.pop()
-            taken = min(room, length)
-            pieces.append((i, start, taken))
-            room -= taken
-            if taken < length:
-                cuts.append((i, start + taken, length - taken))
-    return [pieces for _, pieces in packed if pieces]
+        pieces: list[tuple[int, int, int]] = []
+        for i, start, length in (items[k] for k in window):
+            if pieces and pieces[-1][0] == i and pieces[-1][1] + pieces[-1][2] == start:
+                pieces[-1] = (i, pieces[-1][1], pieces[-1][2] + length)
+            else:
+                pieces.append((i, start, length))
+        windows.append(pieces)
+    return windows
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER) -> DataFrame:
@@ -98,7 +91,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, spa
     ``sequence_id`` and ``offset`` in the sequence. Every id with the end id of
     its document lies in exactly one piece; offsets of a sequence have no gaps.
     Whole windows of a long document are sequences of their own; what remains of
-    the documents is balanced, about ``together`` windows at a time.
+    the documents is cut into items of at most an eighth of a window, and these
+    are balanced, about ``together`` windows at a time.
 
     Nothing is shuffled: a task packs the rows of its partition, and only the
     last windows of a partition are less than full. Sequence ids are the

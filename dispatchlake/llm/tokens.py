@@ -35,13 +35,18 @@ class WordIds:
     follows. A text is then cut before each space and around a line end alone; where
     a space touches other white space, the tokenizer gets the whole text. Else the
     tokenizer drops case and white space, and the text is cut there. Both kinds part
-    letters from signs, so there are cuts too. No token crosses a cut.
+    letters from signs, so there are cuts too. No token crosses a cut. The strings
+    of added tokens (end of text and the like) have their ids, as in the library.
     """
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {token.content: np.array([i], "<u4").tobytes() for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = added
+        self.around = re.compile("(" + "|".join(sorted(map(re.escape, added), key=len, reverse=True)) + ")") if added else None
+        # Texts are cut at these strings. What a change of case makes of other strings is ordinary text.
+        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.known: dict[str, bytes] = {"": b""}
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
@@ -80,6 +85,11 @@ class WordIds:
         return text.split(" ")
 
     def ids(self, text: str) -> bytes:
+        if self.around and self.around.search(text):
+            return b"".join(self.added[part] if part in self.added else self._between(part) for part in self.around.split(text))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         run = self.spaced and bool(_RUN.search(text))
         if self.spaced and (run and _TOUCHING.search(text) or _CUT in text):
             return self._encode([text])[0]

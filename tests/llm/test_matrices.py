@@ -48,7 +48,6 @@ def test_round_trip(spark):
     texts = [None, "", "  a  b\n\n c ", "word " * 5000, "x" * 9000, "<|endoftext|>", "é😀\t\n z"]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     rows = matrices.pack(docs, BYTES, 50256, 0, capacity=256).collect()
     got = round_trip(rows, 256, 0)
     assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [50256] for i, t in enumerate(texts)}
@@ -62,7 +61,6 @@ def test_query_over_the_table(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     lengths = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in docs.items()}
     rows = QUERIES["op7_token_matrices"](spark, folder).collect()
     sums = defaultdict(int)

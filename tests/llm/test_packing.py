@@ -18,7 +18,6 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 
 def plain_ids(texts):
     tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [2] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -73,11 +72,20 @@ def test_windows_hold_everything_and_stay_within_capacity():
                 covered[i].append((start, length))
         assert all(sum(x[1] for x in covered[i]) == sizes[i] for i in range(n))
         least = -(-sum(sizes) // 4096)
-        assert len(windows) <= least + least // packing.RISE
+        assert len(windows) <= least + 1
+
+
+def test_count_rises_until_differencing_fits():
+    """Items of more than half a window need one each, however far that is above the least count."""
+    windows = packing.windows_of([60] * 90, 100, parts=1)
+    assert len(windows) == 90
+    halves = packing.windows_of([60, 60, 60], 100, parts=2)
+    assert len(halves) == 2 and all(sum(length for _, _, length in w) <= 100 for w in halves)
+    assert [p for w in packing.windows_of([100], 100) for p in w] == [(0, 0, 100)]
 
 
 def test_odd_rows(spark):
-    texts = [None, "", "  \n ", "<|endoftext|> don't  STOP now é😀 é", "word " * 9000, "x" * 30000, "a\x1cb \x85 c"]
+    texts = [None, "", "  \n ", "<|endoftext|> don't <|ENDOFTEXT|><|startoftext|>  STOP now é😀 é", "word " * 9000, "x" * 30000, "a\x1cb \x85 c"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int")
     rows = [tuple(r) for r in packing.pack(docs, WORD, 2).collect()]
     check(rows, dict(enumerate(plain_ids(texts))), 4096)

@@ -45,7 +45,6 @@ def test_stages(spark, tmp_path):
         if name != "packing":
             assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(now, key=str), name
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {d: tokenizer.encode(t, add_special_tokens=False).ids + [2] for d, t in now}
     check([tuple(r) for r in docs.collect()], ids, 4096)
 
