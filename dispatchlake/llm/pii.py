@@ -5,6 +5,8 @@ DataFrame functions only. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ RUN = r"(?<![0-9A-Za-z:])[0-9A-Fa-f]++(?:::?[0-9A-Fa-f]++)++(?![0-9A-Za-z])|(?:\
 #: Code points on either side in which context words are looked for.
 REACH = 64
 
+#: A text is masked in parts of so many code points, since the place of a span is counted from the front of a string.
+PART = 512
+
 SPAN = "array<struct<start:int,end:int,kind:string,value:string,before:string,after:string>>"
 
 
@@ -45,24 +50,68 @@ _RULES = {
 }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut(items: Column) -> Column:
+    """An array in stretches, as many as each has items."""
+    size = F.size(items)
+    length = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), length), lambda first: F.slice(items, first + 1, length))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What the integers before each one come to, from 0.
+
+    An array grows by being copied, so it is built stretch by stretch: n values
+    cost n times the root of n small copies, of numbers only.
+    """
+
+    def along(items: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda done, x: F.struct(add(done["at"], x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
+
+    def over(stretches: Column) -> Column:
+        totals = F.transform(stretches, lambda items: F.aggregate(items, F.lit(0), add))
+        return F.flatten(F.zip_with(stretches, along(totals, F.lit(0)), along))
+
+    return _let(values, lambda v: _let(_cut(v), over))
+
+
+def _meeting(spans: Column, others: Column, test: Callable[[Column, Column], Column], not_: bool) -> Column:
+    """The ``spans`` of which ``test`` holds (or doesn't) with some of ``others`` that overlaps them; only stretches of others that reach a span are looked through."""
+
+    def bounds(items: Column) -> Column:
+        return F.struct(items[0]["start"].alias("start"), F.array_max(F.transform(items, lambda y: y["end"])).alias("end"), items.alias("items"))
+
+    def meets(x: Column, stretches: Column) -> Column:
+        return F.exists(stretches, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]) & F.exists(s["items"], lambda y: test(x, y)))
+
+    sorted_ = F.array_sort(F.transform(others, lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"))))
+    stretches = _let(sorted_, lambda o: F.transform(_cut(o), bounds))
+    return _let(stretches, lambda found: F.filter(spans, lambda x: ~meets(x, found) if not_ else meets(x, found)))
+
+
 def _spans(text: Column, pattern: str, kind: str | None, valid) -> Column:
     """All valid matches of ``pattern`` with their context. What stands between matches gives their places."""
-    gaps = F.split(text, pattern, -1)
-    after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-    pieces = F.zip_with(
-        F.zip_with(gaps, after, lambda g, a: F.struct(F.length(g).alias("skip"), F.right(g, F.lit(REACH)).alias("before"), F.left(a, F.lit(REACH)).alias("after"))),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda around, value: F.struct(around.alias("around"), value.alias("value")),
-    )
 
-    def step(done: Column, piece: Column) -> Column:
-        start = done["at"] + piece["around"]["skip"]
-        end = start + F.coalesce(F.length(piece["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).cast("string").alias("kind"), piece["value"].alias("value"), piece["around"]["before"].alias("before"), piece["around"]["after"].alias("after"))
-        found = F.when(piece["value"].isNotNull() & valid(piece["value"]), F.concat(done["found"], F.array(span))).otherwise(done["found"])
-        return F.struct(end.alias("at"), found.cast(SPAN).alias("found"))
+    def placed(both: Column) -> Column:
+        gaps, values = both["gaps"], both["values"]
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step, lambda done: done["found"])
+        def span(value: Column, i: Column, at: Column) -> Column:
+            start = at[i] + F.length(gaps[i])
+            end = start + F.length(value)
+            return F.struct(start.alias("start"), end.alias("end"), F.lit(kind).cast("string").alias("kind"), value.alias("value"), F.right(gaps[i], F.lit(REACH)).alias("before"), F.left(gaps[i + 1], F.lit(REACH)).alias("after"))
+
+        lengths = F.transform(values, lambda value, i: F.length(gaps[i]) + F.length(value))
+        spans = _let(_running(lengths, lambda a, b: a + b), lambda at: F.transform(values, lambda value, i: span(value, i, at)))
+        return F.filter(spans, lambda x: valid(x["value"])).cast(SPAN)
+
+    none = F.array().cast(SPAN)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    return _let(both, lambda b: F.when(F.size(b["values"]) > 0, placed(b)).otherwise(none))
 
 
 def base_spans(text: Column) -> Column:
@@ -116,7 +165,7 @@ def _plausible(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", value.contains("@")).when(kind == "ip", value.rlike(r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,7}$")).when(kind == "card", n.between(12, 19)).otherwise(n.between(7, 15))
 
 
-def bootstrap(places: DataFrame, rounds: int, confident: float, support: int) -> DataFrame:
+def bootstrap(places: DataFrame, confident: float, support: int) -> DataFrame:
     """``value`` and ``kind`` of identifiers that only their contexts give away.
 
     ``places``: ``value``, ``kind`` (null where unknown), ``before``, ``after``.
@@ -124,8 +173,9 @@ def bootstrap(places: DataFrame, rounds: int, confident: float, support: int) ->
     Patterns and values are a graph. In each round a pattern scores, for a kind,
     the summed scores of its values over their number plus one; patterns of at
     least ``support`` values and a score of ``confident`` count. A value unseen
-    so far scores 1 - product(1 - pattern score); from ``confident`` on it
-    takes part in the next round. Seeds keep the score 1.
+    so far scores 1 - product(1 - pattern score); from ``confident`` on it is
+    found, keeps this score and its kind, and takes part in the next round.
+    Rounds end when one finds nothing new. Seeds keep the score 1.
 
     Edges are made distinct and sums taken in every task before a shuffle, so a
     word that stands before a third of all identifiers is one row per task.
@@ -137,20 +187,24 @@ def bootstrap(places: DataFrame, rounds: int, confident: float, support: int) ->
     seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum(F.lit(1.0)).alias("mass"))
     open_edges = edges.where("kind IS NULL").select("pattern", "value", "weight")
     found = None
-    for _ in range(rounds):
+    while True:
         mass = seeds
         if found is not None:
             learned = open_edges.join(found, "value").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("weight")).alias("mass"))
             mass = seeds.unionByName(learned).groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"))
         scored = mass.join(sizes, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("pattern_score")).where(F.col("pattern_score") >= confident)
         hits = open_edges.join(scored, "pattern").where(_plausible(F.col("kind"), F.col("value")))
+        if found is not None:
+            hits = hits.join(found.select("value"), "value", "left_anti")
         by_kind = hits.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("pattern_score", F.lit(0.999)))))).alias("score"))
         best = by_kind.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
-        found = staged(best.select("value", "best.kind", "best.score").where(F.col("score") >= confident))
-    return found.select("value", "kind")
+        new = staged(best.select("value", "best.kind", "best.score").where(F.col("score") >= confident))
+        if new.isEmpty():
+            return new.select("value", "kind") if found is None else found.select("value", "kind")
+        found = new if found is None else staged(found.unionByName(new))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.75, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confident: float = 0.75, support: int = 3) -> DataFrame:
     """Per document ``doc_id``, ``text_key``, and the spans ``base`` and ``spans``: base rules, and these with what contexts add.
 
     Spans are structs (start, ``place`` of the kind in ``KINDS``, end, kind,
@@ -158,19 +212,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     Defined results: a null or empty text has no spans; repeated rows have a row
     each; a null id is a row like others; other columns are not read; an empty
-    table gives an empty result. Time is linear in the text, but for the
-    spans of one text, of which each is held against each for overlaps.
+    table gives an empty result. Time is linear in the text; the n spans of
+    one text cost n times the root of n steps.
     """
     text = F.col("text")
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), whole(text_col).alias("text"))
     rows = staged(source.select("doc_id", "text_key", base_spans(text).alias("base"), loose_spans(text).alias("loose")))
-    apart = F.filter("loose", lambda x: (F.length(x["value"]) > 0) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    overlap = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    apart = _meeting(F.filter("loose", lambda x: F.length(x["value"]) > 0), F.col("base"), overlap, not_=True)
     rows = rows.withColumn("loose", F.when((F.size("base") > 0) & (F.size("loose") > 0), apart).otherwise(F.col("loose")))
     places = rows.select("doc_id", "text_key", F.explode(F.concat("base", "loose")).alias("s")).select("doc_id", "text_key", "s.*")
-    learned = bootstrap(places, rounds, confident, support)
+    learned = bootstrap(places, confident, support)
     extra = places.where("kind IS NULL").drop("kind").join(learned, "value")
     extra = extra.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "kind", "value")).alias("extra"))
-    outer = F.filter("extra", lambda x: ~F.exists("extra", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    outer = _meeting(F.col("extra"), F.col("extra"), within, not_=True)
     extra = extra.withColumn("extra", outer)
     extra = extra.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
 
@@ -198,13 +254,20 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.dropDuplicates(["_id", "_key"])
     text = F.col(text_col)
 
-    def step(done: Column, s: Column) -> Column:
-        kept = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], kept, label)).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def replaced(at: Column, parts: Column) -> Column:
+        """Text between spans, which starts where all spans before end, and labels."""
+
+        def between(first: Column, end: Column) -> Column:
+            several = F.slice(parts, F.floor(first / PART).cast("int") + 1, (F.floor(end / PART) - F.floor(first / PART)).cast("int") + 1)
+            return F.substring(F.array_join(several, ""), first % PART + 1, end - first)
+
+        pieces = F.zip_with("_spans", at, lambda s, before: F.when(s["start"] >= before, F.concat(between(before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")))
+        last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    ends = _running(F.transform("_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    masked = _let(F.struct(ends.alias("at"), parts.alias("parts")), lambda b: replaced(b["at"], b["parts"]))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key"))
     joined = docs.join(found, same, "left").withColumn("_masked", F.when(F.col("_spans").isNotNull(), masked))
     changed = {text_col: F.coalesce("_masked", text_col)}
