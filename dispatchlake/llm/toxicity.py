@@ -32,7 +32,8 @@ def features(word: str) -> list[str]:
 class Model:
     """Weights of features, and how segment scores become a probability.
 
-    ``drift`` is taken off for a word without a weight. A segment of score s in a
+    Weights are signed: a word of clean texts counts against a segment. ``drift``
+    is taken off for every word, known or not. A segment of score s in a
     text of n words has the normalised score rate * s - ln(n) - log_k, whose
     exponential is about one over the number of such segments that chance gives.
     ``slope`` and ``shift`` turn the sum over significant segments into the score.
@@ -47,7 +48,8 @@ class Model:
     shift: float = -50.0
 
     def word_score(self, word: str) -> float:
-        return max((self.weights[f] for f in features(word) if f in self.weights), default=-self.drift)
+        """The weight of the feature that tells most, either way, less the drift."""
+        return max((self.weights[f] for f in features(word) if f in self.weights), key=abs, default=0.0) - self.drift
 
     def normalised(self, total: float, words: int) -> float:
         return self.rate * total - math.log(max(1, words)) - self.log_k
@@ -84,21 +86,20 @@ class Scorer(dict):
         return value
 
 
-def segments(scores: list[float], drift: float) -> list[tuple[int, int, float]]:
+def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in one pass.
 
-    ``scores``: above 0, or -``drift``. A segment can't be made better by growing
-    or shrinking it, and none lies in another. Each open segment leads to the last
+    A segment can't be made better by growing or shrinking it, and none lies in
+    another. Each open segment leads to the last
     one before it whose sum to the left is lower, so what a search passed over is
     never walked again, and the time is linear in the scores.
     """
     found: list[tuple[int, int, float, float, int]] = []  # start, end, the running sums before and after, and where it leads
-    total, seen = 0.0, 0
+    total = 0.0
     for i, score in enumerate(scores):
         if score <= 0:
+            total += score
             continue
-        total -= drift * (i - seen)
-        seen = i + 1
         mine = (i, i + 1, total, total + score)
         total += score
         j = len(found) - 1
@@ -148,7 +149,7 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, prior: float = 0.05, least_z: float = 3.0, most_features: int = 50_000, drift: float = 0.1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, prior: float = 0.05, least_z: float = 3.0, drift: float = 0.1) -> Model:
     """A model from labelled rows that are not held out.
 
     Learns from at most ``sample`` labelled documents, those of the least hashes
@@ -156,15 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     once per document. Its weight is the difference of its log-odds in toxic and
     other documents, under a Dirichlet prior of the pooled counts that weighs
     ``prior`` of all of them; features whose difference is ``least_z`` standard
-    errors and more have one, the ``most_features`` most certain if there are
-    more. Null ids, null labels and held-out rows are left out; of several labels
+    errors and more, to either side, have one. Of several documents with a
+    labelled id the one with the least hash of its text is learned from. Null ids, null labels and held-out rows are left out; of several labels
     of a document the highest holds. Without labels of both kinds no text
     scores over 0.5.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    train = staged(texts.join(F.broadcast(known), "doc_id").select("toxic", "text"))
+    train = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    train = staged(train.select("toxic", "text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
@@ -182,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pseudo = prior * (F.col("bad") + F.col("good"))
     b, g = F.col("bad") + pseudo, F.col("good") + pseudo
     odds = F.log(b / (F.lit(bad + mass) - b)) - F.log(g / (F.lit(good + mass) - g))
-    certain = counted.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / b + 1 / g)).alias("z")).where(F.col("z") >= least_z)
-    model.weights = {r.feature: r.odds for r in certain.orderBy(F.desc("z"), "feature").limit(most_features).collect()}
+    certain = counted.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / b + 1 / g)).alias("z")).where(F.abs("z") >= least_z)
+    model.weights = {r.feature: r.odds for r in certain.orderBy("feature").collect()}  # of at most ``sample`` texts
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer, clean = Scorer.of(model), Counter()
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for toxic, text in zip(toxics, batch.column("text").to_pylist()):
             scores = [scorer[word] for word in WORD.findall(text)]
             words.append(len(scores))
-            totals.append([s for _, _, s in segments(scores, drift)])
+            totals.append([s for _, _, s in segments(scores)])
             if toxic != 1:
                 clean.update(scores)
         n = len(toxics)
@@ -231,7 +233,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for text in batch.column("text").to_pylist():
             tokens = WORD.findall(text)
             n = len(tokens)
-            found = segments(list(map(scorer.__getitem__, tokens)), model.drift)
+            found = segments(list(map(scorer.__getitem__, tokens)))
             results.append(model.score(model.evidence([s for _, _, s in found], n)))
             words.append(n)
             strong = [(a, b, s) for a, b, s in found if model.normalised(s, n) > 0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import zlib
+from collections import Counter
 
 from dispatchlake.llm import toxicity
 from dispatchlake.llm.queries import QUERIES
@@ -38,23 +40,52 @@ def brute_segments(scores, offset=0):
 def test_segments_take_linear_time():
     n = 1_000_000
     rng = random.Random(2)
-    for scores in ([1.0, -0.1] * (n // 2), [0.05, -0.1] * (n // 2), [rng.choice([-0.3, 0.1, 0.3]) for _ in range(n)], [0.2 * (i % 3 == 0) - 0.1 for i in range(n)]):
-        drift = -min(scores)
+    for scores in ([1.0, -0.1] * (n // 2), [0.05, -0.1] * (n // 2), [rng.choice([-0.3, 0.1, 0.3]) for _ in range(n)], [0.2 * (i % 3 == 0) - 0.1 for i in range(n)], [rng.uniform(-1, 0.9) for _ in range(n)]):
         start = time.time()
-        toxicity.segments([s if s > 0 else -drift for s in scores], drift)
+        toxicity.segments(scores)
         assert time.time() - start < 10
 
 
 def test_segments():
     rng = random.Random(1)
     for _ in range(400):
-        scores = [rng.choice([-0.3, -0.3, -0.3, rng.uniform(0.1, 1.0)]) for _ in range(rng.randint(0, 30))]
-        got = toxicity.segments(scores, 0.3)
+        scores = [rng.choice([-0.3, rng.uniform(-1.0, 0.0), 0.0, rng.uniform(0.1, 1.0)]) for _ in range(rng.randint(0, 30))]
+        got = toxicity.segments(scores)
         want = brute_segments(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert abs(max((s for *_, s in got), default=0.0) - brute_best(scores)) < 1e-9
 
 
+def test_signed_weights(spark):
+    """Words of clean texts count against a segment; weights and scores equal those of the plain formulas."""
+    rows = [(i, "vile rotten scum here" if i % 4 == 0 else "calm kind friend here") for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learned = [(t, y) for (i, t), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5]
+    counts = {y: Counter(f for t, label in learned if label == y for f in {f for w in t.split() for f in toxicity.features(w)}) for y in (0, 1)}
+    sums = {y: sum(counts[y].values()) for y in (0, 1)}
+    mass = 0.05 * (sums[0] + sums[1])
+    for feature in counts[0] | counts[1]:
+        pseudo = 0.05 * (counts[0][feature] + counts[1][feature])
+        b, g = counts[1][feature] + pseudo, counts[0][feature] + pseudo
+        odds = math.log(b / (sums[1] + mass - b)) - math.log(g / (sums[0] + mass - g))
+        certain = abs(odds / math.sqrt(1 / b + 1 / g)) >= 3
+        assert (feature in model.weights) == certain and (not certain or abs(model.weights[feature] - odds) < 1e-9), feature
+    assert model.weights["scum."] > 0 > model.weights["friend."] and model.word_score("here") == -model.drift
+    text = "vile scum friend unknown vile"
+    scores = [model.word_score(w) for w in text.split()]
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert abs(got.score - model.score(model.evidence([s for *_, s in brute_segments(scores)], 5))) < 1e-9
+
+
+def test_repeated_labelled_id(spark):
+    """Of many rows of one labelled id one is learned from."""
+    docs = spark.createDataFrame([(i, "vile scum" if i % 2 else "calm friend") for i in range(60)] + [(1, f"text {k}") for k in range(500)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert "text." not in model.weights and model.weights["vile."] > 0
+
+
 def test_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, folder).collect()}
