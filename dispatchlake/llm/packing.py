@@ -16,7 +16,7 @@ from dispatchlake.llm.tokens import encoded
 #: Windows that are balanced against each other at once. It bounds what a task holds.
 TOGETHER = 256
 #: No item that is balanced is longer than this part of a window. Small items balance well, so the count of windows hardly has to rise.
-PARTS = 8
+PARTS = 4
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, spa
     ``sequence_id`` and ``offset`` in the sequence. Every id with the end id of
     its document lies in exactly one piece; offsets of a sequence have no gaps.
     Whole windows of a long document are sequences of their own; what remains of
-    the documents is cut into items of at most an eighth of a window, and these
+    the documents is cut into items of at most a quarter of a window, and these
     are balanced, about ``together`` windows at a time.
 
     Nothing is shuffled: a task packs the rows of its partition, and only the

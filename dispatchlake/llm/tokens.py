@@ -42,9 +42,8 @@ class WordIds:
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = {token.content: np.array([i], "<u4").tobytes() for i, token in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = added
-        self.around = re.compile("(" + "|".join(sorted(map(re.escape, added), key=len, reverse=True)) + ")") if added else None
+        self.added = {token.content: np.array([i], "<u4").tobytes() for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.around = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")")
         # Texts are cut at these strings. What a change of case makes of other strings is ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
@@ -85,7 +84,7 @@ class WordIds:
         return text.split(" ")
 
     def ids(self, text: str) -> bytes:
-        if self.around and self.around.search(text):
+        if any(map(text.__contains__, self.added)):
             return b"".join(self.added[part] if part in self.added else self._between(part) for part in self.around.split(text))
         return self._between(text)
 
