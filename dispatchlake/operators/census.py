@@ -123,15 +123,23 @@ def taxonomy(counted: DataFrame) -> DataFrame:
 
 
 def wait_rows(waits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Report rows per bucket; waits without one are shown as unclassified."""
+    """Report rows per bucket; waits without one are shown as unclassified.
+
+    Waits are first added up by class too, in numbers alone: an aggregate that carries the
+    class along as a text sorts all waits of a task.
+    """
     bucket = F.coalesce(stripped(F.col("bucket")), F.lit(UNCLASSIFIED))
-    return (
+    by_class = (
         waits.withColumn("_bucket", bucket)
-        .groupBy(*keys, F.col("_bucket").alias("bucket"))
+        .groupBy(*keys, F.col("_bucket").alias("bucket"), F.col("wait_class").alias("_class"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(usable_wait()).alias("_ns"), F.min("line_no").alias("_first"))
+    )
+    return (
+        by_class.groupBy(*keys, "bucket")
         .agg(
-            F.count(F.lit(1)).alias("count"),
-            checked(F.sum(usable_wait()), "wait duration").alias("wait_ns"),
-            F.coalesce(F.min_by("wait_class", "line_no"), F.lit("other")).alias("wait_class"),
+            F.sum("_n").alias("count"),
+            checked(F.sum("_ns"), "wait duration").alias("wait_ns"),
+            F.coalesce(F.min_by("_class", "_first"), F.lit("other")).alias("wait_class"),
         )
         .withColumn("additive", ~F.col("bucket").isin("sched_backpressure", "sched_worker_wait"))
     )
