@@ -41,3 +41,20 @@ def test_events_without_owner_stay_out_of_the_join(spark):
         assert r.command_buffer_index == owner and r.has_legacy_index == (owner is not None)
         assert r.trace_id == str(owner % 3 if owner is not None else e % 25)
         assert (r.at_ns is None) == (e % 7 == 0 or e % 11 == 0)
+
+
+def test_outlines_are_read_part_by_part(spark):
+    cbs = [json.dumps({"command_buffer_index": i}) for i in range(7)]
+    text = ['{"evidence_health":{"n":7},"measurements":[1],"command_buffers":[', *[("," if i else "") + c for i, c in enumerate(cbs)],
+            '],"dispatch_summary":{"placed_in_viewport":2,"kernel_families":[', '{"kernel":"b","count":2}', ',{"kernel":"a","count":1}', ']},"waits":[',
+            '{"duration_ns":1,"ownership":{"command_buffer_index":3}}', '],"limitations":[]}']
+    assert json.loads("\n".join(text))["command_buffers"][6] == {"command_buffer_index": 6}
+    bare = [text[0], text[8], text[11], text[13]]
+    kind = "trace_id string, launch_index bigint, range_id string, file_name string, part bigint, text string"
+    torn = [*text[:2], text[1], *text[2:]]
+    for size in (1, 3, 100):
+        rows = [("t", n, "r", "f", p, "\n".join(doc[p * size : (p + 1) * size])) for n, doc in enumerate((text, bare, torn)) for p in range(-(-len(doc) // size))]
+        found = {r.launch_index: r for r in documents.document_outlines(spark.createDataFrame(rows, kind)).collect()}
+        assert (found[0].command_buffers, json.loads(found[0].first_kernel)["kernel"], json.loads(found[0].head)["evidence_health"]) == (7, "b", {"n": 7})
+        assert (found[1].command_buffers, found[1].first_kernel) == (0, None)
+        assert (found[2].head, found[2].command_buffers, found[2].first_kernel) == (None, None, None)
