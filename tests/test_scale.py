@@ -43,6 +43,18 @@ def test_events_without_owner_stay_out_of_the_join(spark):
         assert (r.at_ns is None) == (e % 7 == 0 or e % 11 == 0)
 
 
+def test_grading_reads_stored_records(spark):
+    lines = [{"record": "cb", "command_buffer_index": 1, "encode_start_ns": 1}, {"record": "cb", "command_buffer_index": 1}, {"record": "op", "seq": 1}, {"x": 1},
+             {"record": "summary", "schema_version": 1, "complete": True, "dropped_rows": 0, "ops_total": 1, "cbs_total": 0}]
+    rows = spark.createDataFrame([("t", i + 1, json.dumps(v)) for i, v in enumerate(lines)], "trace_id string, line_no bigint, value string")
+    records = normalize(parse_lenient(rows)[0])
+    stored = evidence.stored_for_grading(records)
+    assert stored.all.dtypes and sorted(stored.all.dtypes) == sorted(records.all.dtypes)
+    graded = evidence.grade(stored)
+    assert "parse_json" not in plan(graded)
+    assert graded.collect() == evidence.grade(records).collect()
+
+
 def test_outlines_are_read_part_by_part(spark):
     cbs = [json.dumps({"command_buffer_index": i}) for i in range(7)]
     text = ['{"evidence_health":{"n":7},"measurements":[1],"command_buffers":[', *[("," if i else "") + c for i, c in enumerate(cbs)],
