@@ -70,3 +70,22 @@ def test_outlines_are_read_part_by_part(spark):
         assert (found[0].command_buffers, json.loads(found[0].first_kernel)["kernel"], json.loads(found[0].head)["evidence_health"]) == (7, "b", {"n": 7})
         assert (found[1].command_buffers, found[1].first_kernel) == (0, None)
         assert (found[2].head, found[2].command_buffers, found[2].first_kernel) == (None, None, None)
+
+
+def test_one_type_alone_is_read_as_among_all(spark):
+    lines = [{"record": "wait", "bucket": "cap_wait", "wait_ns": 3, "cb_index": 1}, {"cause": "b", "ns": -1}, {"type": "op", "seq": 2, "kernel": "k"}, {"encode_start_ns": 1, "cb_index": 4}, [1]]
+    rows = parse_lenient(spark.createDataFrame([("t", i, json.dumps(v)) for i, v in enumerate(lines)], "trace_id string, line_no bigint, value string"))[0]
+    for kind in ("wait", "op", "cb"):
+        alone, among = normalize(rows, [kind]), normalize(rows)
+        assert len(alone.all.columns) < len(among.all.columns)
+        assert sorted(map(str, alone.of(kind).drop("raw", "grid", "threadgroup").collect())) == sorted(map(str, among.of(kind).drop("raw", "grid", "threadgroup").collect()))
+
+
+def test_wait_stream_has_few_state_partitions(spark):
+    from dispatchlake.session import setting
+
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with setting(spark, name, 3):
+        assert spark.conf.get(name) == "3"
+    assert spark.conf.get(name) == before
