@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dispatchlake.functions.json_values import by_name, field, member, whole_document
+from dispatchlake.functions.json_values import field, member, members, whole_document
 from dispatchlake.operators.audit import _typed
 from dispatchlake.operators.normalize import normalize
 from dispatchlake.sources.lines import parse_lenient
@@ -27,10 +27,10 @@ def test_one_value_and_nothing_behind_it(spark):
 
 def test_members_are_those_that_a_walk_finds(spark):
     raw = whole_document(F.col("value"))
-    pairs = [(F.to_json(field(raw, n)), F.to_json(member(by_name(raw), n))) for n in ("a", "b", "record", "seq", "none")]
+    pairs = [(F.to_json(field(raw, n)), F.to_json(member(members(raw), n))) for n in ("a", "b", "record", "seq", "none")]
     checked = _lines(spark).select("value", *[a.eqNullSafe(b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     assert all(all(row[1:]) for row in checked.collect())
-    void = _lines(spark).filter("line_no = 2").select(member(by_name(raw), "a").isNotNull()).first()
+    void = _lines(spark).filter("line_no = 2").select(member(members(raw), "a").isNotNull()).first()
     assert void[0]
 
 
