@@ -140,3 +140,13 @@ def test_nested_ranges_do_not_meet_rows_one_by_one(spark):
         present = sum(10 * k + 12 > low and 10 * k < high for k in range(rows))
         work = sum(max(0, min(10 * k + 12, high) - max(10 * k + 4, low)) for k in range(rows))
         assert found[i] == (ops, present, work)
+
+
+def test_a_kind_of_row_is_swept_without_the_others(spark):
+    fail = F.raise_error(F.lit("read"))
+    waits = [("t", 0, at, "b", "c", "d", "cap", 1.0) for at in (1.0, 5.0, 9.0)]
+    dispatches = [("t", 0, at, "k", 1.0, 2.0, 3.0) for at in (4.0, 5.0)]
+    cbs, ops, waited, asked, omitted = tables(spark, [], dispatches, waits, [("t", 0, "r", 4.0, 6.0)])
+    unread = [df.withColumn("at_ns", fail.cast("double")) for df in (ops, waited)]
+    assert [(r.bucket, r["count"]) for r in ranges.analyze_ranges(cbs, unread[0], waited, asked, omitted).wait_taxonomy.collect()] == [("b", 1)]
+    assert [(r.kernel, r["count"]) for r in ranges.analyze_ranges(cbs, ops, unread[1], asked, omitted).kernels.collect()] == [("k", 2)]
