@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.census import KERNEL_SUMS
@@ -71,11 +71,19 @@ def place(ops: DataFrame, cbs: DataFrame) -> DataFrame:
     Positions are interpolated by sequence number; they say in which order work was
     encoded, not when it ran. ``placement_detail`` says how a position came about
     or why there is none. ``launch_index`` comes along when ``cbs`` has it.
+
+    The sequence range of ``sequence_bounds`` is taken on the operations as they meet their
+    command buffer, so they are read and moved once; those without an index stay out of the join.
     """
     extra = [c for c in ("launch_index",) if c in cbs.columns]
-    owners = sequence_bounds(ops, cbs).select(
-        *OWNER, "encode_start_ns", "encode_end_ns", "first_seq", "last_seq", F.lit(True).alias("_found"), *extra
+    owners = cbs.filter("command_buffer_index IS NOT NULL").select(
+        *OWNER, "encode_start_ns", "encode_end_ns", "first_op_seq", "last_op_seq", F.lit(True).alias("_found"), *extra
     )
+    same_owner = Window.partitionBy(*OWNER)
+    owned = ops.filter("command_buffer_index IS NOT NULL").select(
+        "*", F.min("seq").over(same_owner).alias("_low"), F.max("seq").over(same_owner).alias("_high")
+    )
+    declared = F.col("first_op_seq").isNotNull() & F.col("last_op_seq").isNotNull()
     start, end = F.col("encode_start_ns"), F.col("encode_end_ns")
     first, last = F.col("first_seq"), F.col("last_seq")
     fraction = (F.col("seq") - first) / (last - first)
@@ -93,12 +101,19 @@ def place(ops: DataFrame, cbs: DataFrame) -> DataFrame:
     at = F.when(
         F.col("placement_detail").isin("missing-sequence-span", "degenerate-sequence-span"), midpoint
     ).when(F.col("placement_detail") == "interpolated-sequence", start + fraction * (end - start))
-    return (
-        ops.join(owners, OWNER, "left")
+    placed = (
+        owned.join(owners, OWNER, "left")
+        .withColumn("first_seq", F.when(declared, F.col("first_op_seq")).otherwise(F.col("_low")))
+        .withColumn("last_seq", F.when(declared, F.col("last_op_seq")).otherwise(F.col("_high")))
         .withColumn("placement_detail", detail)
         .withColumn("at_ns", at)
         .select(*ops.columns, "at_ns", "placement_detail", *extra)
     )
+    nowhere = [F.lit(None).cast(cbs.schema[c].dataType).alias(c) for c in extra]
+    unowned = ops.filter("command_buffer_index IS NULL").select(
+        *ops.columns, F.lit(None).cast("double").alias("at_ns"), F.lit("missing-parent-command-buffer").alias("placement_detail"), *nowhere
+    )
+    return placed.unionByName(unowned)
 
 
 def anchor_waits(waits: DataFrame, cbs: DataFrame) -> DataFrame:

@@ -65,6 +65,13 @@ class Analysis:
         """Dispatches with position and launch; the largest join, so written once."""
         return settle(place(self.ops, self.command_buffers))
 
+    @cached_property
+    def dispatch_times(self) -> DataFrame:
+        """Dispatches with launch, time, kernel and owner alone, for those who count them; written once."""
+        if "dispatches" in self.__dict__:
+            return self.dispatches
+        return settle(place(self.ops, self.command_buffers).select(*LAUNCH, "at_ns", "line_no", "kernel", "command_buffer_index"))
+
     @cached_property
     def anchored_waits(self) -> DataFrame:
         return settle(anchor_waits(self.waits, self._split[0]))
@@ -110,7 +117,13 @@ class Analysis:
 
     @cached_property
     def availability(self) -> DataFrame:
-        return range_availability(self.command_buffers, self.dispatches, self.launches)
+        """One row per launch, written, as good and bad ranges both ask for it.
+
+        Only owners and launches of dispatches are read: of a written table when there is one,
+        else nothing more than these is made."""
+        written = [self.__dict__[n] for n in ("dispatches", "dispatch_times") if n in self.__dict__]
+        dispatches = written[0] if written else place(self.ops, self.command_buffers)
+        return settle(range_availability(self.command_buffers, dispatches, self.launches))
 
     def kernel_census(self, keys: list[str]) -> DataFrame:
         if keys == TRACE:

@@ -50,3 +50,32 @@ def test_both_scopes_take_one_shuffle(spark):
     assert plan(found).count("Exchange hashpartitioning") == 1
     got = {(r.scope, r.trace_id, r.launch_index, r["count"], tuple(r.raw_kernels)) for r in found.collect()}
     assert got == {("trace", "t", None, 5, ("a",)), ("trace", "t", None, 4, ("custom_kernel_x",)), ("trace", "u", None, 1, ("b",)), ("launch", "t", 0, 2, ("a",)), ("launch", "t", 1, 3, ("a",))}
+
+
+def test_operations_are_placed_in_one_read_and_without_an_owner_beside_the_join(spark):
+    out = folder({})
+    rows = [("t", 1.0, 1, 1.0), ("t", 1.0, 2, 3.0), ("t", 1.0, 3, None), ("t", 2.0, 4, 7.0), ("t", 9.0, 5, 1.0), ("t", None, 6, 1.0), (None, None, 7, 2.0), (None, 1.0, 8, 1.0)]
+    spark.createDataFrame(rows, "trace_id string, command_buffer_index double, line_no bigint, seq double").write.parquet(f"{out}/ops")
+    cbs = spark.createDataFrame(
+        [("t", 1.0, 0, 10.0, 30.0, None, None), ("t", 2.0, 0, 10.0, 30.0, 5.0, 9.0)],
+        "trace_id string, command_buffer_index double, launch_index bigint, encode_start_ns double, encode_end_ns double, first_op_seq double, last_op_seq double",
+    )
+    made = placement.place(spark.read.parquet(f"{out}/ops"), cbs)
+    lost = "missing-parent-command-buffer"
+    got = {r.line_no: (r.at_ns, r.placement_detail, r.launch_index) for r in made.collect()}
+    assert got == {
+        1: (10.0, "interpolated-sequence", 0), 2: (30.0, "interpolated-sequence", 0), 3: (None, "missing-sequence", 0), 4: (20.0, "interpolated-sequence", 0),
+        5: (None, lost, None), 6: (None, lost, None), 7: (None, lost, None), 8: (None, lost, None),
+    }
+    # One scan of the owned ones and one of the others; no aggregate beside them.
+    assert "Aggregate" not in plan(made)
+
+
+def test_ranges_are_checked_without_writing_dispatches(spark):
+    a, b = analysis(spark, SF), analysis(spark, SF)
+    got = a.availability
+    assert "dispatches" not in a.__dict__
+    # Written once: what asks for it reads the rows and computes nothing again.
+    assert "Join" not in plan(got)
+    assert b.dispatches.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, b.availability.collect()))
