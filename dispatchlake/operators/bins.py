@@ -176,12 +176,12 @@ def density_bins(selected: DataFrame, keys: Sequence[str], width: int) -> DataFr
 
 
 def folded_bins(per_kernel: DataFrame, keys: Sequence[str], columns: int) -> DataFrame:
-    """Bins out of what each kernel has in them."""
+    """Bins out of what each kernel has in them. Rows without a kernel and with ``n`` 0 tell ends and owners alone."""
     scope = [*keys, "range_start_ns", "range_end_ns", "bin"]
     bins = per_kernel.groupBy(*scope).agg(
         F.sum("n").alias("count"),
         F.min_by("kernel", F.struct(-F.col("n"), F.col("kernel"))).alias("dominant_kernel"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kernel", "n")))).alias("kernel_counts"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kernel").isNotNull(), F.struct("kernel", "n"))))).alias("kernel_counts"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         F.min("_low").alias("_low"),

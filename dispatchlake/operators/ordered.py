@@ -92,22 +92,22 @@ def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Blocks:
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``_rank`` (0-based position in the key) and ``_total`` (rows in the key)."""
-    cut = blocks(df, keys, order)
-    rows = cut.with_carry(
-        cut.rows,
-        {"_n": F.count(F.lit(1))},
-        {"_earlier": F.sum("_n")},
-        {"_later": F.sum("_n")},
-    )
-    inside = Window.partitionBy(*cut.block_keys)
-    earlier = F.coalesce("_earlier", F.lit(0))
-    later = F.coalesce("_later", F.lit(0))
-    return rows.select(
-        *df.columns,
-        (earlier + F.row_number().over(cut.window) - 1).alias("_rank"),
-        (earlier + F.count(F.lit(1)).over(inside) + later).alias("_total"),
+    """Add ``_rank`` (0-based position in the key) and ``_total`` (rows in the key).
+
+    Blocks are written in order with the place of every row, so rows move once: a rank is the
+    place in the block and what earlier blocks of the key hold, one small row per key and block.
+    """
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The id counts the rows of a partition one by one; its upper bits are the partition's number.
+    placed = settle(ordered.withColumn("_place", F.monotonically_increasing_id())).withColumn(BLOCK, F.shiftright("_place", 33))
+    line = Window.partitionBy(*keys)
+    past = line.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.groupBy(*keys, BLOCK).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # Written, its size is known when the join is planned.
+    carried = settle(
+        counted.select(*keys, BLOCK, (F.coalesce(F.sum("_n").over(past), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(line).alias("_total"))
     )
+    return placed.join(carried, [*keys, BLOCK]).select(*df.columns, (F.col("_place") + F.col("_shift")).alias("_rank"), "_total")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

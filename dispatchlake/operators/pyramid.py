@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,14 @@ from dispatchlake.session import settle
 #: Dispatches of a leaf block, and blocks that make up one of the next level.
 LEAF, FANOUT = 64, 16
 _BLOCK = [*LAUNCH, "level", "block"]
-_PARTIAL = ("n", "first", "last", "_low", "_high", "_unowned")
+_EXTENT = ("first", "last", "_low", "_high", "_unowned")
 
 
 @dataclass(frozen=True)
 class Pyramid:
-    """``rows``: placed dispatches with their leaf ``block``. ``blocks``: per level and block the
-    ``first_at`` and ``last_at`` dispatch. ``counts``: per level, block and kernel what a density bin needs."""
+    """``rows``: placed dispatches with their leaf ``block``. ``blocks``: per level and block the number
+    ``n`` of dispatches, the ``first`` and ``last`` one and the range of their owners. ``counts``: ``n`` per level,
+    block and kernel. What does not depend on the kernel is kept once a block."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -34,20 +36,38 @@ class Pyramid:
         return self.blocks.agg(F.max("level")).first()[0] or 0
 
 
-def _merged(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _extent(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_unowned").alias("_unowned"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_unowned").alias("_unowned"), F.sum("n").alias("n"),
     )
 
 
+def _counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, "kernel").agg(F.sum("n").alias("n"))
+
+
 def _single(rows: DataFrame, *columns: str) -> DataFrame:
-    """Every dispatch as a count of its own."""
+    """Every dispatch as a block of its own."""
     at = F.struct("at_ns", "line_no")
     owner = F.col("command_buffer_index")
     return rows.select(*columns, "kernel", F.lit(1).cast("bigint").alias("n"), at.alias("first"), at.alias("last"), owner.alias("_low"), owner.alias("_high"), owner.isNull().alias("_unowned"))
 
 
+def _leaf_blocks(ranked: DataFrame) -> DataFrame:
+    """Ends and owners of the leaves: at either end lies the dispatch of least or greatest rank."""
+    opens = F.col("_rank") % LEAF == 0
+    closes = (F.col("_rank") % LEAF == LEAF - 1) | (F.col("_rank") == F.col("_total") - 1)
+    owner = F.col("command_buffer_index")
+    found = ranked.groupBy(*LAUNCH, "block").agg(
+        F.min("at_ns").alias("_a"), F.max(F.when(opens, F.col("line_no"))).alias("_a_line"),
+        F.max("at_ns").alias("_b"), F.max(F.when(closes, F.col("line_no"))).alias("_b_line"),
+        F.min(owner).alias("_low"), F.max(owner).alias("_high"), F.max(owner.isNull()).alias("_unowned"), F.count(F.lit(1)).alias("n"),
+    )
+    ends = [F.struct(F.col(at).alias("at_ns"), F.col(line).alias("line_no")).alias(name) for at, line, name in (("_a", "_a_line", "first"), ("_b", "_b_line", "last"))]
+    return found.select(*LAUNCH, "block", *ends, "_low", "_high", "_unowned", "n")
+
+
 def build_pyramid(dispatches: DataFrame) -> Pyramid:
     """Number the dispatches of a launch in time order, and count them in blocks of blocks.
 
@@ -55,23 +75,29 @@ def build_pyramid(dispatches: DataFrame) -> Pyramid:
     A level is made from the one below, until every launch is one block.
     """
     placed = dispatches.filter("launch_index IS NOT NULL AND at_ns IS NOT NULL").select(*LAUNCH, "at_ns", "line_no", kernel_name().alias("kernel"), "command_buffer_index")
-    ranked = with_rank(placed, LAUNCH, ["at_ns", "line_no"])
-    rows = settle(ranked.select(*placed.columns, F.floor(F.col("_rank") / LEAF).cast("bigint").alias("block")))
-    levels = [settle(_merged(_single(rows, *LAUNCH, "block"), [*LAUNCH, "block", "kernel"]))]
-    while (levels[-1].agg(F.max("block")).first()[0] or 0) > 0:
-        above = levels[-1].withColumn("block", F.floor(F.col("block") / FANOUT).cast("bigint"))
-        levels.append(settle(_merged(above, [*LAUNCH, "block", "kernel"])))
-    counts = None
-    for level, made in enumerate(levels):
-        here = made.select(*LAUNCH, F.lit(level).alias("level"), "block", "kernel", *_PARTIAL)
-        counts = here if counts is None else counts.unionByName(here)
-    blocks = counts.groupBy(*_BLOCK).agg(F.min("first.at_ns").alias("first_at"), F.max("last.at_ns").alias("last_at"), F.sum("n").alias("n"))
-    return Pyramid(rows, blocks, counts)
+    ranked = with_rank(placed, LAUNCH, ["at_ns", "line_no"]).withColumn("block", F.floor(F.col("_rank") / LEAF).cast("bigint"))
+    rows = ranked.select(*placed.columns, "block")
+    blocks = [settle(_leaf_blocks(ranked))]
+    counts = [settle(rows.groupBy(*LAUNCH, "block", "kernel").agg(F.count(F.lit(1)).alias("n")))]
+    while (blocks[-1].agg(F.max("block")).first()[0] or 0) > 0:
+        parent = F.floor(F.col("block") / FANOUT).cast("bigint")
+        blocks.append(settle(_extent(blocks[-1].withColumn("block", parent), [*LAUNCH, "block"])))
+        counts.append(settle(_counted(counts[-1].withColumn("block", parent), [*LAUNCH, "block"])))
+
+    def levels(tables: Sequence[DataFrame], *columns: str | Column) -> DataFrame:
+        made = [t.select(*LAUNCH, F.lit(level).alias("level"), "block", *columns) for level, t in enumerate(tables)]
+        return reduce(DataFrame.unionByName, made)
+
+    ends = (F.col("first.at_ns").alias("first_at"), F.col("last.at_ns").alias("last_at"))
+    return Pyramid(rows, levels(blocks, *ends, *_EXTENT, "n"), levels(counts, "kernel", "n"))
 
 
 def write_pyramid(pyramid: Pyramid, root: str) -> None:
-    """Store the tables, levels in folders of their own, rows and blocks of a launch next to each other."""
-    pyramid.rows.repartitionByRange(*LAUNCH, "block").sortWithinPartitions(*LAUNCH, "block").write.mode("overwrite").parquet(f"{root}/rows")
+    """Store the tables, levels in folders of their own, rows and blocks of a launch next to each other.
+
+    ``build_pyramid`` leaves rows in ranges of (launch, block), so they need no other move to lie so.
+    """
+    pyramid.rows.sortWithinPartitions(*LAUNCH, "block").write.mode("overwrite").parquet(f"{root}/rows")
     for name in ("blocks", "counts"):
         table = getattr(pyramid, name).repartitionByRange("level", *LAUNCH, "block").sortWithinPartitions("level", *LAUNCH, "block")
         table.write.mode("overwrite").partitionBy("level").parquet(f"{root}/{name}")
@@ -102,9 +128,9 @@ def _descend(pyramid: Pyramid, ranges: DataFrame, keys: Sequence[str], width: in
     top = pyramid.top
     opened, taken, looked = asked.withColumn("parent", F.lit(0).cast("bigint")), None, None
     for level in range(top, -1, -1):
-        children = pyramid.blocks.filter(F.col("level") == level).select(*LAUNCH, "block", "first_at", "last_at", (F.lit(0) if level == top else F.floor(F.col("block") / FANOUT)).cast("bigint").alias("parent"))
-        here = settle(opened.join(children, [*LAUNCH, "parent"]).select(*named, "block", "first_at", "last_at", F.lit(level).alias("level")))
-        mine = here.filter(touches & one_bin).select(*named, "level", "block", pixel(F.col("first_at"), width).alias("bin"))
+        children = pyramid.blocks.filter(F.col("level") == level).select(*LAUNCH, "block", "first_at", "last_at", *_EXTENT, (F.lit(0) if level == top else F.floor(F.col("block") / FANOUT)).cast("bigint").alias("parent"))
+        here = settle(opened.join(children, [*LAUNCH, "parent"]).select(*named, "block", "first_at", "last_at", *_EXTENT, F.lit(level).alias("level")))
+        mine = here.filter(touches & one_bin).select(*named, "level", "block", *_EXTENT, pixel(F.col("first_at"), width).alias("bin"))
         seen = here.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"))
         taken = mine if taken is None else taken.unionByName(mine)
         looked = seen if looked is None else looked.unionByName(seen)
@@ -122,9 +148,12 @@ def density_from_pyramid(pyramid: Pyramid, ranges: DataFrame, keys: Sequence[str
     columns = max(1, int(width))
     found = _descend(pyramid, ranges, keys, columns)
     scope = [*keys, "range_start_ns", "range_end_ns", "bin"]
-    by_block = found.blocks.join(pyramid.counts, _BLOCK).select(*scope, "kernel", *_PARTIAL)
     inside = found.rows.filter(F.col("at_ns").between(F.col("range_start_ns"), F.col("range_end_ns"))).withColumn("bin", pixel(F.col("at_ns"), columns))
-    return folded_bins(_merged(by_block.unionByName(_single(inside, *scope)), [*scope, "kernel"]), keys, columns)
+    single = _single(inside, *scope)
+    by_block = found.blocks.join(pyramid.counts, _BLOCK).select(*scope, "kernel", "n")
+    kernels = _counted(by_block.unionByName(single.select(*scope, "kernel", "n")), scope)
+    ends = found.blocks.withColumn("n", F.lit(0).cast("bigint")).select(*scope, "n", *_EXTENT).unionByName(single.withColumn("n", F.lit(0).cast("bigint")).select(*scope, "n", *_EXTENT))
+    return folded_bins(kernels.unionByName(_extent(ends, scope), allowMissingColumns=True), keys, columns)
 
 
 def density_mode_from_pyramid(pyramid: Pyramid, ranges: DataFrame, keys: Sequence[str], width: float) -> DataFrame:

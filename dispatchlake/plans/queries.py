@@ -250,7 +250,7 @@ def dispatch_density(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stored_pyramid(spark: SparkSession, a: Analysis) -> pyramid.Pyramid:
     out = f"{checkpoint_dir(spark)}/pyramid-{uuid.uuid4().hex}"
-    pyramid.write_pyramid(pyramid.build_pyramid(a.dispatches), out)
+    pyramid.write_pyramid(pyramid.build_pyramid(a.dispatch_times), out)
     return pyramid.read_pyramid(spark, out)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dispatchlake.operators import bins, pyramid, ranges
+from dispatchlake.operators.ordered import with_rank
 
 DISPATCHES = "trace_id string, launch_index bigint, at_ns double, line_no bigint, kernel string, command_buffer_index double"
 ASKED = "trace_id string, launch_index bigint, range_id string, start_ns double, end_ns double"
@@ -55,3 +57,14 @@ def test_cost_follows_the_width(tables, stored):
         assert max(b for b, _ in cost.values()) <= 4 * pyramid.FANOUT * (width + 2)
         assert max(r for _, r in cost.values()) <= pyramid.LEAF * (width + 2)
         assert cost[0, "r0"][1] + cost[0, "r0"][0] < 20_000 / 4
+
+
+def test_rows_move_once_and_ends_are_kept_once_a_block(tables, stored):
+    # A rank takes a sort of the rows and a small table of what each block holds, no second shuffle of rows.
+    ranked = with_rank(tables[0].filter("launch_index = 0"), ["trace_id", "launch_index"], ["at_ns", "line_no"])
+    assert "Exchange hashpartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert set(stored.counts.columns) == {"trace_id", "launch_index", "level", "block", "kernel", "n"}
+    by_block = stored.counts.groupBy("trace_id", "launch_index", "level", "block").agg(F.sum("n").alias("n"))
+    for level in range(stored.top + 1):
+        assert stored.blocks.filter(F.col("level") == level).agg(F.sum("n")).first()[0] == 20_064
+    assert by_block.exceptAll(stored.blocks.select(by_block.columns)).isEmpty()
